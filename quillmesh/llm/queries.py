@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, simhash
+from . import media, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.text_media(table(spark, sf_dir, "documents"), keep_media=False)
     feature = F.format_string("codec=%s duration=%.6f samples=%d keyframes=%d ranges=%08x", "codec", "duration", "n_samples", "n_keyframes", "key_crc32")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal counts, equal texts together."""
+    found = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cut")
