@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sharding, simhash
+from . import media, mixing, sharding, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal counts, equal texts together."""
     found = sharding.shard(table(spark, sf_dir, "documents"), 40)
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cut")
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's raked weight, keep probability and whether it is kept."""
+    found = mixing.weigh(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "prob")})
+
+
+ORACLES["op1_mixing"] = mixing.oracle()
