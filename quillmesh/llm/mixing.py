@@ -129,8 +129,8 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marg
     margins = margins or standard_margins(text_col)
     named = keys(margins)
     cells = docs.select(*[c.alias(k) for k, c in named.items()], tokens(text_col).alias("_tokens")).groupBy(*named).agg(F.sum("_tokens").alias("tokens"))
-    cells = fit_cells(scratch.table(cells), margins, targets, rate, temper, scratch).select(*named, "prob")
-    return docs.withColumns(named).join(cells, list(named)).where(chance(id_col) < F.col("prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cells = fit_cells(scratch.table(cells), margins, targets, rate, temper, scratch).select(*named, F.col("prob").alias("_prob"))
+    return docs.withColumns(named).join(cells, list(named)).where(chance(id_col) < F.col("_prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(rate: float = RATE, temper: float = TEMPER) -> str:
