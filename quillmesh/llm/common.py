@@ -70,3 +70,23 @@ def offsets(counted: DataFrame, key: str, sub: str, size: str, out: str) -> Data
     ``counted`` holds one row per (key, sub); subs are few per key, so the window is small."""
     w = Window.partitionBy(key).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
     return counted.select(key, sub, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long").alias(out))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """A bounded sample of labelled texts on the driver, and the number of allowed labels per class.
+
+    The ids are drawn from the label table alone, ``per_class`` of each class by a hash order, so that the
+    list of ids is bounded and the texts need no shuffle. Texts over ``longest`` characters are left out of
+    the sample (of training only), so the sample holds ``2 * per_class * longest`` characters at most.
+    Null labels count as none. Ids that are labelled twice with different classes are left out.
+    """
+    given = labels.where(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    each = given.groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other").drop("other")
+    counts = {r.label: r.n for r in each.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picks = [r for y in (0, 1) for r in each.where(F.col("label") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class).collect()]
+    if not picks:
+        return [], counts
+    wanted = docs.sparkSession.createDataFrame(picks, each.schema)
+    text = F.col(text_col).cast("string")
+    found = docs.where(F.length(text) <= longest).select(F.col(id_col), text.alias("_text")).join(F.broadcast(wanted), id_col).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col)
+    return [(r._text, r.label) for r in found.select("_text", "label").collect()], counts
