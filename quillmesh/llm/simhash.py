@@ -178,3 +178,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "label").select("fp", "component_id")
     return found.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of ``docs`` that stand for their near-duplicate group, with the columns of ``docs``.
+
+    The row with the smallest id of a group stays; where several rows have that id, one of them. Rows with a
+    null id cannot be told apart by it: they all stay, and stand for no group."""
+    groups = near_duplicates(docs, id_col, text_col, **options)
+    kept = Scratch(docs.sparkSession, "simhash").table(groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")))
+    named = docs.join(kept, docs[id_col] == kept["_kept"])
+    once = named.where(kept["_rows"] == 1).select(docs["*"])
+    many = named.where(kept["_rows"] > 1).select(docs["*"]).dropDuplicates([id_col])
+    return once.unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))

@@ -88,3 +88,13 @@ def test_whole_operator_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_distinct_keeps_one_of_each_group(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(3, base, "a"), (2, base, "b"), (2, base, "c"), (5, "other text of its own kind here", "d"), (None, base, "e"), (7, None, "f"), (8, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _rows string")
+    kept = simhash.distinct(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r._rows) for r in kept.collect()]
+    assert sorted(x for x in got if x[0] != 2 and x[0]) == [(5, "d"), (7, "f")] and (None, "e") in got and len([x for x in got if x[0] == 2]) == 1
