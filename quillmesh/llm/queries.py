@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, media, mixing, quality, sharding, simhash, toxicity
+from . import decontamination, language, media, mixing, quality, sharding, simhash, tokens, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     found = quality.score(docs, model)
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document and of each of its lines."""
+    return tokens.count_lines(table(spark, sf_dir, "documents"))
