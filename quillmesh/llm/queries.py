@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, media, mixing, quality, sharding, simhash, tokens, toxicity
+from . import decontamination, language, media, mixing, pages, quality, sharding, simhash, tokens, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document and of each of its lines."""
     return tokens.count_lines(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
