@@ -24,12 +24,12 @@ def ratio(query: str, text: str) -> float:
 
 def bound(query: str, text: Column) -> Column:
     """An upper bound of the ratio of a literal query with a lower-cased text: twice the characters that
-    both have, counted with repeats, over both lengths."""
+    both have, counted with repeats, over both lengths. Where both are empty it is 0, and no bound."""
     size = F.length(text)
     shared = F.lit(0)
     for c, n in sorted(Counter(query).items()):
         shared = shared + F.least(F.lit(n), size - F.length(F.replace(text, F.lit(c), F.lit(""))))
-    return F.lit(2.0) * shared / (size + len(query))
+    return F.lit(2.0) * shared / F.greatest(size + len(query), F.lit(1))
 
 
 def may_reach(query: str, text: Column, threshold: float) -> Column:
@@ -37,7 +37,7 @@ def may_reach(query: str, text: Column, threshold: float) -> Column:
     if threshold <= 0:
         return F.lit(True)
     size = F.length(text)
-    by_length = F.lit(2.0) * F.least(size, F.lit(len(query))) / (size + len(query)) >= threshold
+    by_length = F.lit(2.0) * F.least(size, F.lit(len(query))) / F.greatest(size + len(query), F.lit(1)) >= threshold
     return ((size + len(query)) == 0) | (by_length & (bound(query, text) >= threshold))
 
 

@@ -1,0 +1,138 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillmesh.config import EngineConfig
+from quillmesh.engine import Engine
+from quillmesh.operators import collection, render
+from quillmesh.schema import PUBLICATION
+from quillmesh.sources import hits
+from quillmesh.streaming import collection as stream
+
+PUBS = [
+    ("conf/x/Smith19", "Deep nets", ["Ann Smith", "Bo Li"], "NeurIPS", 2019, "conf", "", "", "u1"),
+    ("conf/x/Smith20", "Deep nets", ["Ann Smith"], "ICML", 2019, "conf", "", "", "u2"),
+    ("j/y/Li18", "Shallow nets and trees", ["Bo Li"], "JMLR", 2018, "article", "", "", "u3"),
+    ("j/y/None", "Old trees", [], "JMLR", None, None, "", "", "u4"),
+    ("j/z/Anna21", "", ["Anna Smyth"], None, 2021, "article", "", "", "u5"),
+]
+ENTRIES = [("conf/x/Smith19", "@inproceedings{REC:conf/x/Smith19,\n title={Deep nets}\n}"), ("j/y/Li18", "  "), ("a/b", "@misc{old,}")]
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    return Engine(spark.createDataFrame(PUBS, PUBLICATION), spark.createDataFrame(ENTRIES, "rec_key string, bibtex string"), spark.createDataFrame([("Neural Systems", "NIPS", "conf", "v1")], "venue string, acronym string, type string, url string"))
+
+
+def key_list(found):
+    return [r.rec_key for r in found.orderBy("position").collect()]
+
+
+def test_search(engine):
+    assert key_list(engine.search("nets")) == ["conf/x/Smith19", "conf/x/Smith20", "j/y/Li18"]
+    assert key_list(engine.search("trees OR nets")) == ["j/y/Li18", "j/y/None", "conf/x/Smith19"]
+    assert key_list(engine.search("trees", year_from=2020)) == ["j/y/None"]
+    assert key_list(engine.search("author:li AND year:2018")) == ["j/y/Li18"]
+    assert key_list(engine.search("nets", venue_filter="ICM")) == ["conf/x/Smith20"]
+    assert key_list(engine.search(" or ")) == [] == key_list(engine.search("nets", max_results=0))
+    got = {r.rec_key: r.bibtex for r in engine.search("nets", include_bibtex=True).collect()}
+    assert got == {"conf/x/Smith19": ENTRIES[0][1].replace("REC:conf/x/Smith19", "Smith2019"), "conf/x/Smith20": "", "j/y/Li18": ""}
+    for bad in (lambda: engine.search(None), lambda: engine.search("x", -1), lambda: engine.search("x", 1.5)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_compat_caps_before_filters(spark, engine):
+    capped = Engine(engine.publications, config=EngineConfig(compat=True))
+    assert key_list(capped.search("nets", max_results=1, venue_filter="JMLR")) == []
+    assert key_list(engine.search("nets", max_results=1, venue_filter="JMLR")) == ["j/y/Li18"]
+    assert key_list(capped.fuzzy_title("deep nets", 0.5, 1)) == ["conf/x/Smith19"]
+    assert key_list(capped.author_publications("Smith", 0.5, 1)) == ["conf/x/Smith19"]
+
+
+def test_fuzzy_title(engine):
+    got = [(r.rec_key, round(r.similarity, 3)) for r in engine.fuzzy_title("deep net", 0.3).orderBy("position").collect()]
+    assert got[0] == ("conf/x/Smith19", 0.889) and len(got) >= 2 and got == sorted(got, key=lambda x: -x[1])
+    every = engine.fuzzy_title("", 0.0).collect()
+    assert sorted((r.title, r.similarity) for r in every) == [("", 0.0), ("Deep nets", 0.8), ("Old trees", 0.8), ("Shallow nets and trees", 0.8)]
+    assert engine.fuzzy_title("deep nets", 0.9, include_bibtex=True).first().bibtex.startswith("@inproceedings{Smith2019,")
+
+
+def test_authors(engine):
+    assert key_list(engine.author_publications("ann smith", 0.99)) == ["conf/x/Smith19", "conf/x/Smith20"]
+    assert len(key_list(engine.author_publications("ann smith", 0.0))) == 5
+    row = engine.author_stats("ann smith", 0.8).first()
+    assert row.publication_count == 3 == len(row.publications)
+    assert [tuple(v) for v in row.stats.venues] == [(None, 1), ("NeurIPS", 1), ("ICML", 1)]
+    assert [tuple(v) for v in row.stats.years] == [(2019, 2), (2021, 1)] and row.stats.types == {"article": 1, "conf": 2}
+    none = engine.author_stats("zzzz", 0.99).first()
+    assert none.publication_count == 0 and none.publications == [] and none.stats.types == {}
+
+
+def test_venues(engine):
+    assert tuple(engine.venue_info("nips").first()) == ("Neural Systems", "NIPS", "conf", "v1")
+    for name in ("nothing", "", "?!"):
+        assert [tuple(r) for r in engine.venue_info(name).collect()] == [("", "", "", "")]
+
+
+def test_renderings(engine):
+    found = engine.fuzzy_title("deep nets", 0.9, include_bibtex=True)
+    assert Engine.render(found, True, True) == "1. Deep nets [Similarity: 1.00]\n   Authors: Ann Smith, Bo Li\n   Venue: NeurIPS (2019)\n   Record key: conf/x/Smith19\n\n   BibTeX:\n      @inproceedings{Smith2019,\n       title={Deep nets}\n      }\n"
+    assert Engine.render(engine.search("zzz")) == "No results found."
+    two = Engine.render(engine.search("trees"))
+    assert two.count("\n\n2. ") == 1 and "(None)" in two
+    assert render.pairs(engine.venue_info("nips")).first().text == "venue: Neural Systems\nacronym: NIPS\ntype: conf\nurl: v1"
+
+
+def test_collection(engine, tmp_path):
+    c = engine.collection()
+    with pytest.raises(ValueError):
+        c.export(str(tmp_path / "x"))
+    assert "Failed" in c.add("nowhere", "k") and "Collection still contains 0" in c.add("j/y/Li18", "k")
+    assert c.add("https://bib.example/rec/conf/x/Smith19.bib", "one") == "Successfully added 'one'. Collection contains 1 entries."
+    c.add("a:b", "two")
+    assert c.add("a/b", "one") == "Successfully added 'one' (replaced existing entry). Collection contains 2 entries."
+    path = tmp_path / "deep" / "refs"
+    assert c.export(str(path)) == f"Exported 2 references to {path}.bib"
+    assert (tmp_path / "deep" / "refs.bib").read_text() == "@misc{one,}\n\n@misc{two,}\n\n"
+    assert c.entries().count() == 0
+
+
+LOG = [(1, 1, "add", "a", "x1"), (1, 2, "add", "b", "x2"), (1, 3, "add", "a", "x3"), (1, 4, "add", "c", "% Error: no"), (1, 5, "export", None, None), (1, 6, "add", "a", "x6"), (2, 1, "export", None, None), (2, 2, "add", "z", "")]
+SCHEMA = "session_id long, seq long, action string, citation_key string, bibtex string"
+
+
+def test_batch_log(spark):
+    log = spark.createDataFrame(LOG, SCHEMA)
+    got = [(r.epoch, r.citation_key, r.bibtex, r.position) for r in collection.latest(log).orderBy("epoch", "position").collect()]
+    assert got == [(0, "a", "x3", 1), (0, "b", "x2", 2), (1, "a", "x6", 1)]
+    assert [(r.seq, r.overwrote, r.size) for r in collection.additions(log).orderBy("seq").collect()] == [(1, False, 1), (2, False, 2), (3, True, 2), (6, False, 1)]
+    assert [r.bibtex for r in collection.current(log).collect()] == ["x6"]
+
+
+def test_streaming_log_equals_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for part in (LOG[:4], LOG[4:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    events = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    q = stream.additions(events).writeStream.format("memory").queryName("adds").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.session_id, r.seq): (r.overwrote, r.size, r.accepted) for r in spark.table("adds").collect()}
+    assert len(got) == len(LOG)
+    for r in collection.additions(spark.createDataFrame(LOG, SCHEMA)).collect():
+        assert got[r.session_id, r.seq] == (r.overwrote, r.size, True)
+    assert not got[1, 4][2] and not got[2, 1][2] and not got[2, 2][2] and got[1, 5] == (False, 2, True)
+
+
+def test_json_shapes(spark):
+    def response(hit, total="1"):
+        return '{"result": {"hits": {"@total": "%s"%s}}}' % (total, "" if hit is None else ', "hit": ' + hit)
+
+    one = '{"@id": "bib:i1", "info": {"title": "T", "year": "2017-2018", "venue": ["V1", "V2"], "authors": {"author": "Solo"}}}'
+    two = '[{"key": "bib:k/1", "info": {"title": "A", "year": "2017", "authors": {"author": [{"text": "X"}, {"@pid": "1"}, "Y"]}}}, {"info": {"url": "https://bib.example/rec/u/2", "authors": {"author": {"text": "Z"}}}}]'
+    rows = [(1, response(one)), (2, response(two, "2")), (3, response(None, "0")), (4, response(one, "0")), (5, "{bad"), (6, None), (7, "{}")]
+    df = spark.createDataFrame(rows, "id int, json string")
+    got = [(r.id, r.hit_no, r.rec_key, r.title, r.authors, r.venue, r.year) for r in hits.publications(df).orderBy("id", "hit_no").collect()]
+    assert got == [(1, 0, "i1", "T", ["Solo"], "V1", None), (2, 0, "k/1", "A", ["X", "", "Y"], "", 2017), (2, 1, "u/2", "", ["Z"], "", None)]
+    assert [(r.id, r.error) for r in hits.errors(df).orderBy("id").collect()] == [(5, "not JSON"), (6, "not JSON"), (7, "no result.hits")]
+    venue = spark.createDataFrame([(1, response('{"info": {"venue": "V", "acronym": "A", "type": "Conf", "url": "u"}}'))], "id int, json string")
+    assert [tuple(r) for r in hits.venues(venue).collect()] == [(1, 0, "V", "A", "Conf", "u")]
