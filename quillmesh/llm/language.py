@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 DIM = 16
 SIZES = (3, 4)
-#: Bounds of the training sample: texts per language, languages, and characters of the longest text.
-PER_LANG, MOST_LANGS, LONGEST = 1500, 400, 20_000
+#: Bounds of the training sample: texts per language, languages, texts in all, characters of the longest.
+PER_LANG, MOST_LANGS, IN_ALL, LONGEST = 1000, 400, 40_000, 20_000
 EPOCHS, RATE, BATCH = 6, 8.0, 64
 #: The share of a language's own texts in the calibration part that its threshold may reject.
 REJECTED = 0.01
@@ -154,6 +155,86 @@ def fit(sample: list[tuple[str, str]], seed: int = 1) -> Model:
     return model
 
 
+def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, longest: int = LONGEST) -> Model:
+    """A model from rows that ``allowed`` lets through and whose language is not null: of each language the
+    first ``per_lang`` texts of at most ``longest`` characters by a hash of the row, ``IN_ALL`` texts at most.
+    Of the languages, the ``MOST_LANGS`` with most rows.
+
+    Two passes over the rows, whatever the number of languages. The second keeps a hash range that holds about
+    twice as many rows as are wanted, and the planner limits each language before the shuffle."""
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.where(allowed & F.col(lang_col).isNotNull() & text.isNotNull() & (F.length(text) <= longest))
+    counts = rows.groupBy(lang.alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGS).collect()
+    if not counts:
+        return fit([])
+    per_lang = min(per_lang, IN_ALL // len(counts))
+    ranges = [(r.y, min(1 << 20, max(1, -(-(2 * per_lang + 50) * (1 << 20) // r.n)))) for r in counts]
+    most = F.broadcast(docs.sparkSession.createDataFrame(ranges, "_y string, _most long"))
+    hashed = F.xxhash64(id_col, text)
+    some = rows.select(lang.alias("_y"), text.alias("_t"), hashed.alias("_h")).join(most, "_y").where(F.pmod("_h", F.lit(1 << 20)) < F.col("_most"))
+    w = Window.partitionBy("_y").orderBy("_h", "_t")
+    picks = some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_lang).orderBy("_y", "_n")
+    return fit([(r._t, r._y) for r in picks.select("_t", "_y").collect()])
+
+
+def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, probability, whether the prediction is rejected)."""
+        if not text or not self.langs or not has_letter(text):
+            return UNKNOWN, 0.0, True
+        p = self.probabilities(self.logits(text))
+        k = int(p.argmax())
+        return self.langs[k], float(p[k]), bool(p[k] < self.least[k])
+
+
+def fit(sample: list[tuple[str, str]], seed: int = 1) -> Model:
+    """A model of (text, language) rows. Without rows: a model that knows no language."""
+    rows = [(t, y) for t, y in sample if t and has_letter(t)]
+    model = Model(langs=sorted({y for _, y in rows}))
+    if not rows:
+        return model
+    rng, k = np.random.default_rng(seed), len(model.langs)
+    model.least = np.zeros(k)
+    number = {y: i for i, y in enumerate(model.langs)}
+    bags = [bag(t) for t, _ in rows]
+    y = np.array([number[l] for _, l in rows])
+    held = rng.random(len(rows)) < 0.15 if len(rows) > 50 * k else np.zeros(len(rows), bool)
+    own = np.flatnonzero(~held)
+    weight = 1.0 / np.bincount(y[own], minlength=k).clip(1)
+    weight *= len(own) / (weight[y[own]].sum() or 1)
+    emb = (rng.random((BUCKETS, DIM)) - 0.5) / DIM
+    layer, bias = np.zeros((DIM, k)), np.zeros(k)
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        order = rng.permutation(own)
+        for lo in range(0, len(order), BATCH):
+            some = order[lo : lo + BATCH]
+            mean = np.stack([bags[i][1] @ emb[bags[i][0]] for i in some])
+            z = mean @ layer + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(some)), y[some]] -= 1
+            p *= weight[y[some]][:, None] / len(some)
+            back = p @ layer.T
+            layer -= rate * 0.1 * mean.T @ p
+            bias -= rate * 0.005 * p.sum(0)
+            for j, i in enumerate(some):
+                emb[bags[i][0]] -= (rate * bags[i][1])[:, None] * back[j]
+    model.table, model.bias = (emb @ layer).astype(np.float32), bias
+    check = np.flatnonzero(held) if held.any() else own
+    z = np.stack([bags[i][1] @ model.table[bags[i][0]] + bias for i in check])
+    scales = np.geomspace(0.2, 5, 60)
+    losses = []
+    for s in scales:
+        model.scale = s
+        losses.append(-np.log(model.probabilities(z)[np.arange(len(check)), y[check]] + 1e-12).mean())
+    model.scale = float(scales[int(np.argmin(losses))])
+    p = model.probabilities(z)
+    for i in range(k):
+        right = p[(y[check] == i) & (p.argmax(1) == i), i]
+        model.least[i] = np.quantile(right, REJECTED) if len(right) else 0.0
+    return model
+
+
 def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, longest: int = LONGEST) -> Model:
     """A model from rows that ``allowed`` lets through and whose language is not null: of each language the
     first ``per_lang`` texts of at most ``longest`` characters by a hash of the id. Of the languages, the
