@@ -327,3 +327,73 @@ SELECT position, position || '. ' || title || chr(10) || '   Authors: ' || array
 )
 def render_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.blocks(search.search(tables.publications(spark, sf_dir), "venue:src2", 10))
+
+
+def clean_sql(hosts: tuple[str, ...]) -> str:
+    bare = "|".join(h.split("://", 1)[-1].replace(".", "\\.") for h in hosts)
+    return f"regexp_replace(regexp_replace(trim(k), '\\.bib$', ''), '^(https?://)?({bare})/rec/', '')"
+
+
+@query(f"SELECT page_id, {clean_sql(PAGE_HOSTS.hosts)} AS rec_key FROM (SELECT page_id, '  ' || regexp_replace(url, '^(https?://[^/]*)/', CASE WHEN page_id % 2 = 0 THEN '\\1/rec/' ELSE split_part(url, '/', 3) || '/rec/' END) || '.bib ' AS k FROM pages)")
+def key_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = F.concat(F.split("url", "/")[2], F.lit("/rec/"), F.regexp_replace("url", "^https?://[^/]*/", ""))
+    given = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^(https?://[^/]*)/", "$1/rec/")).otherwise(bare)
+    key = F.concat(F.lit("  "), given, F.lit(".bib "))
+    return tables.stored(spark, sf_dir, "pages").select("page_id", keys.clean_key(key, PAGE_HOSTS).alias("rec_key"))
+
+
+@query(f"WITH {VIEW} SELECT doc_id, replace(rec_key, '/', ':') AS asked, CASE WHEN doc_id % 4 = 0 THEN '' ELSE {ENTRY} END AS bibtex FROM pubs")
+def bibtex_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pubs = tables.publications(spark, sf_dir)
+    asked = pubs.select("doc_id", F.replace("rec_key", F.lit("/"), F.lit(":")).alias("asked"))
+    found = bibtex.lookup(asked, tables.bibtex(pubs.where("doc_id % 4 <> 0")), "asked")
+    return found.select("doc_id", "asked", F.coalesce("raw", F.lit("")).alias("bibtex"))
+
+
+@query(
+    f"""WITH {VIEW}, one AS (SELECT *, 0 AS arm FROM (SELECT * FROM pubs WHERE {has("src3", "venue")} ORDER BY {RANK} LIMIT 30)), two AS (SELECT *, 1 AS arm FROM (SELECT * FROM pubs WHERE {has("the", "title")} ORDER BY {RANK} LIMIT 30)),
+firsts AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY title, year ORDER BY arm, {RANK}) = 1)
+{limited("(SELECT * FROM firsts WHERE contains(lower(venue), '3'))", 30, "arm, " + RANK)}"""
+)
+def pub_search_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(tables.publications(spark, sf_dir), "venue:src3 or title:the", 30, venue="3", compat=True)
+    return flat(found, "position")
+
+
+@query(f"WITH {LOG}, good AS (SELECT * FROM adds WHERE event_id % 7 <> 0) SELECT session_id, epoch, citation_key, max(seq) AS last_seq, count(*) AS added FROM good GROUP BY ALL")
+def collection_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.session_log(spark, sf_dir)
+    failed = F.when(F.col("event_id") % 7 == 0, F.when(F.col("event_id") % 2 == 0, " ").otherwise("% Error: timeout"))
+    kept = collection.latest(log.withColumn("bibtex", F.coalesce(failed, "bibtex")))
+    return kept.select("session_id", "epoch", "citation_key", "last_seq", "added")
+
+
+@query(
+    f"""WITH {LOG}, ends AS (SELECT session_id, sum((event_type = 'purchase')::INT) AS now FROM log GROUP BY 1),
+held AS (SELECT session_id, epoch, citation_key, arg_max(event_id, seq) AS event_id FROM adds GROUP BY ALL)
+SELECT session_id, citation_key, '@misc{{' || citation_key || ', note = {{' || event_id || '}}}}' AS bibtex FROM held JOIN ends USING (session_id) WHERE epoch = now"""
+)
+def collection_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.current(tables.session_log(spark, sf_dir)).select("session_id", "citation_key", "bibtex")
+
+
+@query(f"WITH {VENUES} SELECT venue, acronym, type, url FROM venues")
+def json_venue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = F.to_json(F.struct(F.struct("venue", "acronym", "type", "url").alias("info")))
+    hit = F.when(F.length("venue") % 2 == 0, F.concat(F.lit("["), info, F.lit("]"))).otherwise(info)
+    responses = tables.venues(spark, sf_dir).select(F.concat(F.lit('{"result": {"hits": {"@total": "1", "hit": '), hit, F.lit("}}}")).alias("json"))
+    return hits.venues(responses).drop("hit_no")
+
+
+@query(
+    f"""WITH RECURSIVE {VIEW}, {TITLES}, q AS (SELECT lower(title) AS q FROM pubs WHERE doc_id = 7),
+pairs AS (SELECT rec_key AS id, q AS a, lower(title) AS b FROM titles, q WHERE NOT contains(lower(title), q)), {RATIO},
+scored AS (SELECT titles.rec_key, CASE WHEN contains(lower(title), q) THEN CASE WHEN title = '' THEN 0.0 ELSE greatest(0.8, length(q) / length(title)) END ELSE ratio END AS similarity
+ FROM titles CROSS JOIN q LEFT JOIN ratios ON id = rec_key),
+tops AS (SELECT pubs.*, rec_key AS k, {ENTRY} AS entry, similarity, row_number() OVER (ORDER BY similarity DESC, {RANK}) AS position FROM pubs JOIN scored USING (rec_key) WHERE similarity >= 0.5 QUALIFY position <= 5), raw AS (SELECT * FROM tops), {NEW_KEY}
+SELECT position, position || '. ' || title || ' [Similarity: ' || printf('%.2f', similarity) || ']' || chr(10) || '   Authors: ' || array_to_string(authors, ', ') || chr(10) || '   Venue: ' || venue || ' (' || coalesce(year::VARCHAR, 'None') || ')' || chr(10) || '   Record key: ' || rec_key || chr(10) || chr(10) || '   BibTeX:' || chr(10) || '      ' || replace(replace(entry, '{{REC:' || rec_key || ',', '{{' || citation_key || ','), chr(10), chr(10) || '      ') || chr(10) AS block FROM named"""
+)
+def render_similarity_bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pubs = tables.publications(spark, sf_dir)
+    found = fuzzy.fuzzy_title(pubs, title_of(pubs, 7), 0.5, 5)
+    return render.blocks(bibtex.with_bibtex(found, tables.bibtex(pubs), None), similarity=True, bibtex=True)
