@@ -12,10 +12,12 @@ from ..functions.text import blank
 def lookup(rows: DataFrame, entries: DataFrame, key: str | Column = "rec_key", out: str = "raw") -> DataFrame:
     """Adds the first entry that is not blank under the key's candidates, in order; null where there is none.
 
-    Two left joins on the key; the planner broadcasts ``entries`` only where its size allows."""
+    The entries are first reduced to the keys that are asked for. Where these come from a limited result the
+    planner sends them to the entries' scan, so that a few lookups shuffle a few entries."""
     key = F.col(key) if isinstance(key, str) else key
-    found = entries.where(~blank(F.col("bibtex"))).groupBy("rec_key").agg(F.min("bibtex").alias("bibtex"))
     rows = rows.withColumn("_keys", candidate_keys(key))
+    asked = rows.select(F.explode("_keys").alias("rec_key")).distinct()
+    found = entries.where(~blank(F.col("bibtex"))).join(asked, "rec_key", "left_semi").groupBy("rec_key").agg(F.min("bibtex").alias("bibtex"))
     for k in (0, 1):
         part = found.select(F.col("rec_key").alias(f"_k{k}"), F.col("bibtex").alias(f"_b{k}"))
         rows = rows.join(part, F.get("_keys", F.lit(k)) == F.col(f"_k{k}"), "left")

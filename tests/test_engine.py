@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from quillmesh.config import EngineConfig
 from quillmesh.engine import Engine
