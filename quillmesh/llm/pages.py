@@ -136,6 +136,10 @@ def place(url: str | None) -> tuple[str, str]:
     return host.lower().rsplit("@", 1)[-1], path or "/"
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def lengths(a: list[int], b: list[int]) -> int:
     """The bit-parallel row of common subsequence lengths of all of ``a`` with prefixes of ``b``: the bits
     that are 0 among the first k number the length with the first k."""
@@ -188,7 +192,7 @@ class Page:
     key: tuple[str, str, str]
     row: tuple
     standing: list[int]
-    texts: list[str]
+    texts: list[str | None]
     marks: list[int]
 
     def text(self, mate: "Page | None") -> tuple[str, int, int]:
@@ -226,7 +230,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null or empty html gives an empty text; a null URL counts as an empty one, all on one host. Pages of one
     path (repeated rows too) pair with the nearest other path, never with each other. A host with more than
-    ``hot`` pages is dealt by directory and the first letter after it as well, and pages pair within that.
+    ``hot`` pages and a thousandth of all is dealt by directory and the first letter after it as well, and pages pair within that.
     Rows stay one to one; columns that are not named are not looked at; an empty table gives an empty result.
 
     Scale: pages are parsed where they are read, so that scripts and markup are not shuffled; blocks are
@@ -241,26 +245,31 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 host, path = place(url.as_py())
                 found = blocks(page.as_py())
                 head, _, tail = path.rpartition("/")
-                rows.append((host, f"{head}/{tail[:1]}", path, [s for s, _ in found], [t for _, t in found]))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
+                # blocks that are left out anyway go on as marks only
+                texts = [t if s != LEFT_OUT else None for s, t in found]
+                rows.append((host, f"{head}/{tail[:1]}", path, [s for s, _ in found], [signed(xxhash.xxh64_intdigest(t)) for _, t in found], texts))
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string())]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "url", "host", "dir", "path", "standing", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "url", "host", "dir", "path", "standing", "marks", "texts"])
 
     slim = pages.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    parsed = slim.mapInArrow(parse, f"id {id_type}, url string, host string, dir string, path string, standing array<int>, texts array<string>")
+    parsed = slim.mapInArrow(parse, f"id {id_type}, url string, host string, dir string, path string, standing array<byte>, marks array<long>, texts array<string>")
     # hosts are told from the URL column alone, by a native twin of ``place``
     rest = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(F.col(url_col).cast("string"), F.lit(""))), r"^[a-zA-Z][a-zA-Z0-9+.-]*:", ""), "^//", "")
     host = F.element_at(F.split(F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), "@"), -1)
-    large = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n")).where(F.col("n") > hot).select("host", F.lit(True).alias("hot"))
-    grouped = parsed.join(large, "host", "left").select("id", "url", "host", F.when(F.col("hot"), F.col("dir")).otherwise("").alias("part"), "path", "standing", "texts")
+    counted = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
+    total = pages.count()
+    # at most a thousand hosts can have more than a thousandth of the pages, so this table may be broadcast
+    large = counted.where(F.col("n") > max(hot, total // 1000)).select("host", F.lit(True).alias("hot"))
+    grouped = parsed.join(F.broadcast(large), "host", "left").select("id", "url", "host", F.when(F.col("hot"), F.col("dir")).otherwise("").alias("part"), "path", "standing", "marks", "texts")
     ordered = grouped.repartition("host", "part").sortWithinPartitions("host", "part", "path", "url", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[Page]:
             for batch in batches:
-                for r in zip(*(batch.column(k) for k in range(7))):
-                    texts = r[6].as_py()
-                    yield Page((r[2].as_py(), r[3].as_py(), r[4].as_py()), (r[0].as_py(), r[1].as_py()), r[5].as_py(), texts, [xxhash.xxh64_intdigest(t) for t in texts])
+                for r in zip(*(batch.column(k) for k in range(8))):
+                    ident, url, *key, stands, marks, texts = (c.as_py() for c in r)
+                    yield Page(tuple(key), (ident, url), stands, texts, marks)
 
         rows, size = [], 0
         for page, mate in paired(stream()):
