@@ -11,9 +11,15 @@ from .operators import authors, bibtex, fuzzy, render, venues
 from .operators import collection as log
 from .operators import search as boolean
 
+#: Fixed texts: the messages of a collection.
+ADDED = "Successfully added '{key}'{note}. Collection contains {n} entries."
+REPLACED = " (replaced existing entry)"
+REFUSED = "Failed to add entry: {why}\nCollection still contains {n} entries."
+EXPORTED = "Exported {n} references to {path}"
+
 
 class Engine:
-    """Queries over a corpus. Every method returns a DataFrame and does no work until an action."""
+    """Queries over a corpus. The query methods return DataFrames, which do no work until an action."""
 
     def __init__(self, publications: DataFrame, entries: DataFrame | None = None, venue_table: DataFrame | None = None, config: EngineConfig | None = None):
         self.publications, self.entries, self.venue_table = publications, entries, venue_table
@@ -102,13 +108,12 @@ class Collection:
         text = self.engine.entry(key, citation_key)
         held = {r.citation_key for r in self.entries().select("citation_key").collect()}
         if text is None:
-            return f"Failed to add entry: no record {key!r}\nCollection still contains {len(held)} entries."
+            return REFUSED.format(why=f"no record {key!r}", n=len(held))
         self._record("add", citation_key, text)
-        what = " (replaced existing entry)" if citation_key in held else ""
-        return f"Successfully added '{citation_key}'{what}. Collection contains {len(held | {citation_key})} entries."
+        return ADDED.format(key=citation_key, note=REPLACED if citation_key in held else "", n=len(held | {citation_key}))
 
     def export(self, path: str) -> str:
         """Write the entries to a ``.bib`` file and clear the collection; a failed write leaves it."""
         to, n = log.export(self.entries(), path)
         self._record("export")
-        return f"Exported {n} references to {to}"
+        return EXPORTED.format(n=n, path=to)

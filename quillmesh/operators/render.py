@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip
 
+#: Fixed texts of the renderings; the label of a record key is a parameter.
 NOTHING = "No results found."
 KEY_LABEL = "Record key"
 
