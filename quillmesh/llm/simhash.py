@@ -187,7 +187,9 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     null id cannot be told apart by it: they all stay, and stand for no group."""
     groups = near_duplicates(docs, id_col, text_col, **options)
     kept = Scratch(docs.sparkSession, "simhash").table(groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")))
-    named = docs.join(kept, docs[id_col] == kept["_kept"])
-    once = named.where(kept["_rows"] == 1).select(docs["*"])
-    many = named.where(kept["_rows"] > 1).select(docs["*"]).dropDuplicates([id_col])
-    return once.unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))
+    # the same plan at every size: documents are dealt by id once, against a table of ids and counts
+    named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"])
+    out = named.where(kept["_rows"] == 1).select(docs["*"])
+    if not kept.where("_rows > 1").isEmpty():
+        out = out.unionByName(named.where(kept["_rows"] > 1).select(docs["*"]).dropDuplicates([id_col]))
+    return out.unionByName(docs.where(F.col(id_col).isNull()))
