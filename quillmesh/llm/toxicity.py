@@ -36,7 +36,7 @@ MISSPELLED, QUOTED = 0.7, 0.1
 N_FEATURES = 5
 
 #: Bounds of the training sample: labelled texts per class, and characters of the longest.
-PER_CLASS, LONGEST = 4000, 50_000
+PER_CLASS, LONGEST = 2500, 50_000
 
 WORD = re.compile(r"[^\W_]+")
 STEM, WHOLE = 1, 2
@@ -153,27 +153,49 @@ def learn_lexicon(sample: list[tuple[str, int]], least: float = 22.0, lift: floa
 
     A word counts once a text; a stem (noted with one or two stars) where one or two different words have it."""
     n = [max(1, sum(y == k for _, y in sample)) for k in (0, 1)]
-    seen: list[Counter] = [Counter(), Counter()]
-    clean: Counter = Counter()
-    for text, y in sample:
+
+    def marks(text: str) -> tuple[set[str], Counter]:
         words = set(WORD.findall(text.lower()))
-        starts = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
-        seen[y].update(words)
-        seen[y].update(s + "*" for s in starts)
-        seen[y].update(s + "**" for s, times in starts.items() if times > 1)
+        return words, Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+
+    seen: Counter = Counter()
+    for text, y in sample:
+        if y:
+            words, starts = marks(text)
+            seen.update(words)
+            seen.update(s + "*" * min(2, times) for s, times in starts.items())
+    # what has two stars has one as well
+    for feature in [f for f in seen if f.endswith("**")]:
+        seen[feature[:-1]] += seen[feature]
+    seen = Counter({f: k for f, k in seen.items() if k >= 4})
+    other: Counter = Counter()
+    once: set[int] = set()
+    ordinary: set[str] = set()
+    for text, y in sample:
         if not y:
-            clean.update(words)
+            words, starts = marks(text)
+            other.update(w for w in words if w in seen)
+            for s, times in starts.items():
+                if s + "*" in seen:
+                    other[s + "*"] += 1
+                if times > 1 and s + "**" in seen:
+                    other[s + "**"] += 1
+            for w in words:  # in two clean texts or more; a clash of hashes does no harm
+                if (h := hash(w)) in once:
+                    ordinary.add(w)
+                else:
+                    once.add(h)
     found = []
-    for feature, toxic in seen[1].items():
-        other = seen[0][feature]
-        if toxic >= 4 and toxic / n[1] >= lift * other / n[0] and (g := evidence(toxic, other, n[1], n[0])) >= least:
+    for feature, toxic in seen.items():
+        clean = other[feature]
+        if toxic / n[1] >= lift * clean / n[0] and (g := evidence(toxic, clean, n[1], n[0])) >= least:
             found.append((g, not feature.endswith("*"), len(feature.rstrip("*")), feature))
     words, stems = [], []
     for _, whole, _, feature in sorted(found, reverse=True):
         base = feature.rstrip("*")
         if not any(base.startswith(s) or (not whole and s.startswith(base)) for s in stems) and (whole or not any(w.startswith(base) for w in words)):
             (words if whole else stems).append(base)
-    return words, stems, frozenset(w for w, k in clean.items() if k > 1)
+    return words, stems, frozenset(ordinary)
 
 
 class Model:
