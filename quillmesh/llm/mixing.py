@@ -30,26 +30,22 @@ NONE = "(none)"
 def tokens(text: str | Column) -> Column:
     """The number of a text's words split at spaces, tabs and line ends; null: none."""
     text = F.col(text) if isinstance(text, str) else text
-    trimmed = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[ \t\r\n]+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^ \t\r\n]+")).cast("long")
+
+
+#: Signs that mark a kind of writing where they are a twentieth of a text or more, in the order of trial.
+KINDS = (("table", "|"), ("symbols", "%#&*$"), ("shouted", "!"))
 
 
 def topic(text: str | Column) -> Column:
     """A text's topic where the corpus has no topic column: the kind of writing, by its commonest marks."""
     text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     n = F.length(text)
-
-    def share(chars: str) -> Column:
-        return n - F.length(F.translate(text, chars, ""))
-
-    return (
-        F.when(n == 0, "empty")
-        .when(share("|") * 20 >= n, "table")
-        .when(share("%#&*$") * 20 >= n, "symbols")
-        .when(share("!") * 20 >= n, "shouted")
-        .when(share("0123456789") * 20 >= n, "figures")
-        .otherwise("prose")
-    )
+    kind = F.when(n == 0, "empty")
+    for name, signs in KINDS:
+        count = sum((n - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in signs), F.lit(0))
+        kind = kind.when(count * 20 >= n, name)
+    return kind.otherwise("prose")
 
 
 def shares(cells: DataFrame, margin: str, temper: float) -> DataFrame:
@@ -136,8 +132,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marg
 def oracle(rate: float = RATE, temper: float = TEMPER) -> str:
     """:func:`weigh` with standard margins and targets as DuckDB SQL, over the table ``documents``."""
     margins = ("source", "lang", "topic")
-    share = {marks: f"(length(t) - length(translate(t, '{marks}', ''))) * 20 >= length(t)" for marks in ("|", "%#&*$", "!", "0123456789")}
-    kinds = " ".join(f"WHEN {share[m]} THEN '{k}'" for m, k in (("|", "table"), ("%#&*$", "symbols"), ("!", "shouted"), ("0123456789", "figures")))
+    kinds = " ".join(f"WHEN (length(t) - length(translate(t, '{signs}', ''))) * 20 >= length(t) THEN '{name}'" for name, signs in KINDS)
     steps = [
         "raw AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t FROM documents)",
         "flat AS (SELECT *, trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS f FROM raw)",
