@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +41,10 @@ NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*
 WORD = re.compile(r"[a-z]+")
 
 LEFT_OUT, PLAIN, IN_ARTICLE = 0, 1, 2
-#: A host with more pages is dealt by directory and first letter too.
-HOT = 2000
+#: Pages in a part of the sorted pages, where there are more than the session's shuffle partitions hold.
+PART = 10_000
+#: Keys that are drawn for each border between parts.
+DRAWN = 50
 
 
 def named(attributes: str) -> set[str]:
@@ -194,6 +197,7 @@ class Page:
     standing: list[int]
     texts: list[str | None]
     marks: list[int]
+    lent: bool = False  # stands here for its neighbours in another range only
 
     def text(self, mate: "Page | None") -> tuple[str, int, int]:
         """(main text, blocks in all, blocks shared with the mate)."""
@@ -225,54 +229,92 @@ def paired(pages: Iterator[Page]) -> Iterator[tuple[Page, "Page | None"]]:
         yield first, None
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hot: int = HOT) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hot: int | None = None) -> DataFrame:
     """Per row ``id_col``, ``url_col``, ``text``, ``n_chars``, ``n_blocks`` and ``n_shared``.
 
     Null or empty html gives an empty text; a null URL counts as an empty one, all on one host. Pages of one
-    path (repeated rows too) pair with the nearest other path, never with each other. A host with more than
-    ``hot`` pages and a thousandth of all is dealt by directory and the first letter after it as well, and pages pair within that.
+    path (repeated rows too) pair with the nearest other path, never with each other. Pairs are the same at every
+    size; only where ``hot`` is given is a host with more pages dealt by directory and the first letter after it,
+    and pages pair within that.
     Rows stay one to one; columns that are not named are not looked at; an empty table gives an empty result.
 
     Scale: pages are parsed where they are read, so that scripts and markup are not shuffled; blocks are
-    shuffled once and sorted by path, and pairs are formed from the sorted stream in constant memory.
+    shuffled once, to ranges of (host, path) that may begin and end within a host, and pairs are formed from the
+    sorted stream in constant memory. The last page before a range and the first one after it go to the range too
+    and give no row there. Borders come from a sample of the URLs, and no pair depends on them.
     """
+    spark = pages.sparkSession
     id_type = pages.schema[id_col].dataType.simpleString()
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [key(url) for url in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.string()) for i in range(3))], names=["url", "host", "part", "path"])
+
+    def key(url: str | None) -> tuple[str, str, str]:
+        host, path = place(url)
+        head, _, tail = path.rpartition("/")
+        return host, f"{head}/{tail[:1]}" if host in large else "", path
+
+    large: frozenset[str] = frozenset()
+    urls = pages.select(F.col(url_col).cast("string"))
+    kinds = "url string, host string, part string, path string"
+    total = pages.count()
+    if hot is not None:
+        counted = urls.mapInArrow(keyed, kinds).groupBy("host").agg(F.count("*").alias("n"))
+        large = frozenset(r.host for r in counted.where(F.col("n") > max(hot, total // 1000)).collect())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
+    drawn = sorted(key(r[0]) for r in urls.sample(min(1.0, DRAWN * n / max(total, 1)), seed=1).collect())
+    borders = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in keyed(batches):
+            at = [bisect_right(borders, k) for k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["at", *batch.schema.names])
+
+    # the ends of each range: at most two rows a range on the driver
+    end = F.struct("host", "part", "path", "url")
+    ends = sorted(urls.mapInArrow(ranged, f"at int, {kinds}").groupBy("at").agg(F.min(end).alias("low"), F.max(end).alias("high")).collect())
+    # (key, URL) of pages that other ranges need, and these ranges
+    lent: dict[tuple, list[int]] = {}
+    for one, two in zip(ends, ends[1:]):
+        if one.high[:2] == two.low[:2]:
+            lent.setdefault(tuple(one.high), []).append(two["at"])
+            lent.setdefault(tuple(two.low), []).append(one["at"])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for url, page in zip(batch.column(1), batch.column(2)):
-                host, path = place(url.as_py())
+            rows, source = [], []
+            for k, (url, page) in enumerate(zip(batch.column(1), batch.column(2))):
+                own = key(url.as_py())
                 found = blocks(page.as_py())
-                head, _, tail = path.rpartition("/")
                 # blocks that are left out anyway go on as marks only
                 texts = [t if s != LEFT_OUT else None for s, t in found]
-                rows.append((host, f"{head}/{tail[:1]}", path, [s for s, _ in found], [signed(xxhash.xxh64_intdigest(t)) for _, t in found], texts))
-            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string())]
+                stands, marks = [s for s, _ in found], [signed(xxhash.xxh64_intdigest(t)) for _, t in found]
+                at = bisect_right(borders, own)
+                for to in (at, *lent.get((*own, url.as_py()), ())):
+                    rows.append((to, to != at, *own, stands, marks, texts))
+                    source.append(k)
+            kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string())]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "url", "host", "dir", "path", "standing", "marks", "texts"])
+            source = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(source), batch.column(1).take(source), *columns], names=["id", "url", "at", "lent", "host", "part", "path", "standing", "marks", "texts"])
 
     slim = pages.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    parsed = slim.mapInArrow(parse, f"id {id_type}, url string, host string, dir string, path string, standing array<byte>, marks array<long>, texts array<string>")
-    # hosts are told from the URL column alone, by a native twin of ``place``
-    rest = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(F.col(url_col).cast("string"), F.lit(""))), r"^[a-zA-Z][a-zA-Z0-9+.-]*:", ""), "^//", "")
-    host = F.element_at(F.split(F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), "@"), -1)
-    counted = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
-    total = pages.count()
-    # at most a thousand hosts can have more than a thousandth of the pages, so this table may be broadcast
-    large = counted.where(F.col("n") > max(hot, total // 1000)).select("host", F.lit(True).alias("hot"))
-    grouped = parsed.join(F.broadcast(large), "host", "left").select("id", "url", "host", F.when(F.col("hot"), F.col("dir")).otherwise("").alias("part"), "path", "standing", "marks", "texts")
-    ordered = grouped.repartition("host", "part").sortWithinPartitions("host", "part", "path", "url", "id")
+    parsed = slim.mapInArrow(parse, f"id {id_type}, url string, at int, lent boolean, host string, part string, path string, standing array<byte>, marks array<long>, texts array<string>")
+    ordered = parsed.repartitionById(len(borders) + 1, F.col("at")).drop("at").sortWithinPartitions("host", "part", "path", "url", "id", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[Page]:
             for batch in batches:
-                for r in zip(*(batch.column(k) for k in range(8))):
-                    ident, url, *key, stands, marks, texts = (c.as_py() for c in r)
-                    yield Page(tuple(key), (ident, url), stands, texts, marks)
+                for r in zip(*(batch.column(k) for k in range(9))):
+                    ident, url, only_lent, *own, stands, marks, texts = (c.as_py() for c in r)
+                    yield Page(tuple(own), (ident, url), stands, texts, marks, only_lent)
 
         rows, size = [], 0
         for page, mate in paired(stream()):
+            if page.lent:
+                continue
             rows.append((*page.row, *page.text(mate)))
             size += len(rows[-1][2])
             if size > 1 << 22 or len(rows) >= 5000:

@@ -69,3 +69,16 @@ def test_extract(spark):
     split = {r.page_id: r.text for r in p.extract(pages, hot=2).collect()}
     assert split[2] == "Home\nNews\nSecond story\n(c) h"  # dealt by first letter: no neighbour in reach
     assert p.extract(pages.where("false")).count() == 0
+
+
+def test_large_host_pairs_as_a_whole(spark):
+    """A host of more pages than were once split by first letter, over several ranges: pairs as in one sorted list."""
+    rows = [(i, f"http://big.org/{'abcdefghij'[i % 10]}{i // 300}/{i:05d}", site(["Home"] + [f"In {i // 7}"], f"Story {i}", "(c)")) for i in range(2300)]
+    rows += [(i, f"http://big.org/zz?{i}", site(["Home"], f"Story {i}", "(c)")) for i in range(2300, 2340)]
+    rows += [(5000 + i, f"http://h{i}.org/{k}", site(["Top"], f"Small {i} {k}", "(c)")) for i in range(30) for k in range(i % 3 + 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    made = sorted((p.Page((host, "", path), (i, url), [s for s, _ in found], [t for _, t in found], [t for _, t in found]) for i, url, page in rows for host, path in [p.place(url)] for found in [p.blocks(page)]), key=lambda x: (x.key, x.row[1], x.row[0]))
+    want = sorted((*page.row, *page.text(mate)) for page, mate in p.paired(iter(made)))
+    got = sorted((r.page_id, r.url, r.text, r.n_blocks, r.n_shared) for r in p.extract(pages).collect())
+    assert got == want
+    assert p.extract(pages).rdd.getNumPartitions() > 1
