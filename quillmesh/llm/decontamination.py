@@ -2,13 +2,14 @@
 
 Texts and benchmark items are normalised (lower case, anything but letters and digits one space). An item is
 leaked where a region of it, of half of its length or ``LEAST`` characters if that is more (but never more than
-all of it), stands in a text with edits of at most a tenth of the region's length.
+all of it) or longer, stands in a text with edits of at most a tenth of the region's length.
 
 By the q-gram lemma a region of m characters with k edits shares at least m + 1 - q (k + 1) q-grams with its
 copy, and these lie within k + 1 neighbouring diagonals (place in the text less place in the item). So hits
 are counted per text, item and band of diagonals; bands overlap by half, so that any k + 1 neighbouring
 diagonals lie within one. Bands that reach the bound are verified: along the best single diagonal first, then by
-banded local alignment.
+banded local alignment, whose best span may be a leak, and where it is none by the rule itself: banded edit
+distances from every start of a region.
 
 The items are a stated query set: they are sent to the executors in blocks of at most ``BLOCK_CHARS``
 characters, a pass over the texts for each block, and every text is searched whole.
@@ -32,6 +33,10 @@ COVER = 0.5
 BLOCK_CHARS = 4_000_000
 #: What an edit costs in the local alignment where an equal letter earns 1.
 EDIT = 4
+#: Letters that a region needs for each edit in it.
+PER_EDIT = round(1 / ERRORS)
+#: Cells of a row that are worked on in one go.
+CELLS = 1 << 20
 #: Bytes of text that are looked at in one go.
 CHUNK = 1 << 20
 #: Candidates that are aligned together.
@@ -73,9 +78,11 @@ class Index:
         self.texts = [text for _, text in items if len(text) >= Q]
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.region = np.minimum(sizes, np.maximum(np.ceil(sizes * COVER).astype(np.int64), LEAST))
-        self.edits = (self.region * ERRORS).astype(np.int64)
-        self.least = np.maximum(1, self.region + 1 - Q * (self.edits + 1))
-        self.width = int(self.edits.max(initial=0)) + 1
+        # the bound is least for one of ten lengths, as it falls where one more edit is allowed
+        longer = np.minimum(self.region[:, None] + np.arange(PER_EDIT), sizes[:, None])
+        self.least = np.maximum(1, (longer + 1 - Q * (longer // PER_EDIT + 1)).min(1, initial=1 << 40))
+        # edits of a region as long as the item, and one
+        self.width = sizes // PER_EDIT + 1
         grams = [self.grams(np.frombuffer(t, np.uint8)) for t in self.texts]
         all_grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -128,7 +135,7 @@ class Index:
         diagonal = at - starts[text] - place
         order = np.lexsort((diagonal, pair))
         pair, diagonal, place, item = pair[order], diagonal[order], place[order], item[order]
-        band = diagonal // self.width
+        band = diagonal // self.width[item]
         low = int(band.min())
         span = int(band.max()) - low + 2
         key = pair * span + band - low
@@ -143,11 +150,12 @@ class Index:
         for a, b in zip(heads[good].tolist(), last[good].tolist()):
             i = int(item[a])
             if self.gathered(place[a:b], i):
-                t, lo = int(pair[a]) // len(self.texts), int(band[a]) * self.width
+                width = int(self.width[i])
+                t, lo = int(pair[a]) // len(self.texts), int(band[a]) * width
                 if out and out[-1][:2] == [t, i] and lo <= out[-1][3]:
-                    out[-1][3], out[-1][5] = lo + 2 * self.width - 1, b
+                    out[-1][3], out[-1][5] = lo + 2 * width - 1, b
                 else:
-                    out.append([t, i, lo, lo + 2 * self.width - 1, a, b])
+                    out.append([t, i, lo, lo + 2 * width - 1, a, b])
         found = []
         for t, i, lo, hi, a, b in out:
             values, counts = np.unique(diagonal[a:b], return_counts=True)
@@ -158,9 +166,15 @@ class Index:
         """Whether some region of the item has enough grams among those hit."""
         own = np.unique(place)
         region = int(self.region[i])
-        # a passing region is as long as ``region`` or longer; a longer one's bound is passed by a part of it
         within = np.searchsorted(own, own + region - Q, "right") - np.arange(len(own))
-        return bool(within.max() >= self.least[i])
+        if within.max() >= self.least[i]:
+            return True
+        # a longer region of m characters has m + 1 - q (m / 10 + 1) grams or more, if not in any part of ``region``
+        spare = PER_EDIT * np.arange(len(own)) - (PER_EDIT - Q) * own
+        first = np.searchsorted(own, own + Q - region, "right") - 1
+        long = np.flatnonzero(first >= 0)
+        least = np.minimum.accumulate(spare)[first[long]]
+        return bool(len(long) and (spare[long] - least).max() >= (PER_EDIT - Q) * Q - PER_EDIT * Q)
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text, item, start and end in the text, start and end in the item, edits) of all leaks; one for
@@ -176,7 +190,9 @@ class Index:
         for k in range(0, len(open_ones), TOGETHER):
             some = open_ones[k : k + TOGETHER]
             for (_, t, i, lo, hi), got in zip(some, align([(self.texts[i], texts[t], lo, hi) for _, t, i, lo, hi in some])):
-                if got and got[3] - got[2] >= self.region[i] and got[4] <= ERRORS * (got[3] - got[2]):
+                if not (got and got[3] - got[2] >= self.region[i] and got[4] <= ERRORS * (got[3] - got[2])):
+                    got = region(self.texts[i], texts[t], lo, hi, int(self.region[i]))
+                if got:
                     out.append((t, i, *got))
         return sorted(out)
 
@@ -229,6 +245,68 @@ def align(pairs: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int, in
     return [tuple(b[1:].tolist()) if b[0] else None for b in best]
 
 
+def step(edits: np.ndarray, equal: np.ndarray, inside: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Least edits on each diagonal after one more item letter, from those before it."""
+    new = np.where(inside, edits + ~equal, FAR)
+    np.minimum(new[:, :-1], edits[:, 1:] + 1, out=new[:, :-1])  # an item letter that the text lacks
+    new -= columns  # text letters that the item lacks
+    np.minimum.accumulate(new, 1, out=new)
+    new += columns
+    return new
+
+
+#: More edits than any region has.
+FAR = np.int32(1 << 28)
+
+
+def region(item: bytes, text: bytes, lo: int, hi: int, least: int) -> tuple[int, int, int, int, int] | None:
+    """The (text start, end, item start, end, edits) of a region of ``least`` letters or more of the item that
+    stands in the text, within these diagonals, with at most one edit for ``PER_EDIT`` letters; None where there is none.
+
+    A region's worth is its letters less ``PER_EDIT`` for each edit, and must not be below 0. Edits are counted from
+    every start up to ``least`` letters; from there on a path's start does not matter, so all go on as one."""
+    n, width = len(item), hi - lo + 1
+    strip = np.zeros(n + width, np.uint8)
+    a, b = max(lo, 0), min(lo + n + width, len(text))
+    if a >= b:
+        return None
+    strip[a - lo : b - lo] = np.frombuffer(text, np.uint8, b - a, a)
+    reach = np.lib.stride_tricks.sliding_window_view(strip, width)[:n]
+    equal, inside, columns = reach == np.frombuffer(item, np.uint8)[:, None], reach > 0, np.arange(width, dtype=np.int32)
+    best, at, on = -1, None, None
+    many = max(1, CELLS // width)
+    for first in range(0, n - least + 1, many):
+        starts = min(many, n - least + 1 - first)
+        edits = np.zeros((starts, width), np.int32)
+        for j in range(first, first + least):
+            edits = step(edits, equal[j : j + starts], inside[j : j + starts], columns)
+        for k in range(starts):
+            end = first + k + least
+            worth = least - PER_EDIT * edits[k].astype(np.int64)
+            if on is not None:
+                # the same step in worths
+                go = np.where(inside[end - 1], on + 1 - PER_EDIT * ~equal[end - 1], -int(FAR))
+                go[:-1] = np.maximum(go[:-1], on[1:] + 1 - PER_EDIT)
+                worth = np.maximum(worth, np.maximum.accumulate(go + PER_EDIT * columns) - PER_EDIT * columns)
+            on = worth
+            top = int(on.argmax())
+            if on[top] > best:
+                best, at = int(on[top]), (end, top)
+    if at is None:
+        return None
+    # back from the end of the best one to its start: the same steps over what is reversed
+    end, column = at
+    edits = np.full((1, width), FAR, np.int32)
+    edits[0, width - 1 - column] = 0
+    np.minimum(edits, edits[0, width - 1 - column] + np.where(columns > width - 1 - column, columns - (width - 1 - column), FAR), out=edits)
+    for start in range(end - 1, -1, -1):
+        edits = step(edits, equal[start : start + 1, ::-1], inside[start : start + 1, ::-1], columns)
+        k = int(edits[0].argmin())
+        if end - start >= least and end - start - PER_EDIT * int(edits[0, k]) >= best:
+            return start + lo + width - 1 - k, end + lo + column, start, end, int(edits[0, k])
+    raise AssertionError("a region has a start")
+
+
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes of the items, at most about ``most`` characters each. Null or short items (under q letters
     when normalised) have no q-grams and match nothing."""

@@ -73,3 +73,54 @@ def test_blocks_find_the_same(spark):
     whole = {(r.doc_id, r.item_id) for r in d.leaks(docs, benchmark).collect()}
     parts = {(t, i) for index in d.blocks(benchmark, "item_id", "text", most=800) for t, k, *_ in index.search([d.normal(x) for x in texts]) for i in [index.ids[k]]}
     assert whole == parts and whole
+
+
+def stands(item, text, region):
+    """The rule itself: some region of the item of enough letters, with at most a tenth of edits, anywhere in the text."""
+    for c in range(len(item) - region + 1):
+        row = [0] * (len(text) + 1)
+        for d in range(c, len(item)):
+            new = [row[0] + 1]
+            for k, x in enumerate(text):
+                new.append(min(row[k] + (item[d] != x), row[k + 1] + 1, new[k] + 1))
+            row = new
+            if d + 1 - c >= region and 10 * min(row) <= d + 1 - c:
+                return True
+    return False
+
+
+def test_regions_by_the_rule_itself():
+    """One word of a short item replaced, edits unevenly spread, and near misses: leaks as the rule says."""
+    rng = random.Random(11)
+    pairs = []
+    for n in range(60):
+        item = d.normal(prose(rng, 40))[: rng.randint(81, 90) if n < 40 else 150].strip()
+        copy = bytearray(item)
+        if n < 40:
+            at, k = rng.randrange(len(item) - 6), rng.choice([4, 5, 6, 7, 8, 9])
+            copy[at : at + k] = b"q" * k
+        else:
+            for _ in range(rng.randint(8, 22)):
+                at = int(rng.random() ** rng.choice([1, 3]) * len(copy))
+                copy[at : at + 1] = rng.choice([b"", b"qq", b"w"])
+        pairs.append((item, d.normal(prose(rng, 5)) + b" " + bytes(copy) + b" " + d.normal(prose(rng, 5))))
+    leaked = spanned = 0
+    for item, text in pairs:
+        index = d.Index([(0, item)])
+        region = int(index.region[0])
+        got = index.search([text])
+        want = stands(item, text, region)
+        assert bool(got) == want, (item, text)
+        leaked += want
+        for _, _, a, b, c, e, edits in got:
+            assert e - c >= region and 10 * edits <= e - c and 0 <= a < b <= len(text)
+            row = list(range(b - a + 1))
+            for x in item[c:e]:
+                new = [row[0] + 1]
+                for k, y in enumerate(text[a:b]):
+                    new.append(min(row[k] + (x != y), row[k + 1] + 1, new[k] + 1))
+                row = new
+            assert row[-1] <= edits
+        (best,) = d.align([(item, text, -len(item), len(text))])
+        spanned += bool(best and best[3] - best[2] >= region and best[4] <= d.ERRORS * (best[3] - best[2]))
+    assert spanned < leaked < len(pairs)
