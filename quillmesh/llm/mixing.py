@@ -38,14 +38,14 @@ KINDS = (("table", "|"), ("symbols", "%#&*$"), ("shouted", "!"))
 
 
 def topic(text: str | Column) -> Column:
-    """A text's topic where the corpus has no topic column: the kind of writing, by its commonest marks."""
+    """A text's topic where the corpus has no topic column: the kind of writing, by its commonest marks or digits."""
     text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
     n = F.length(text)
     kind = F.when(n == 0, "empty")
     for name, signs in KINDS:
         count = sum((n - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in signs), F.lit(0))
         kind = kind.when(count * 20 >= n, name)
-    return kind.otherwise("prose")
+    return kind.when(F.regexp_count(text, F.lit("[0-9]")) * 20 >= n, "figures").otherwise("prose")
 
 
 def shares(cells: DataFrame, margin: str, temper: float) -> DataFrame:
