@@ -64,6 +64,17 @@ def fold(key: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def offsets(counted: DataFrame, key: str, sub: str, size: str, out: str) -> DataFrame:
     """For each (key, sub) the sum of ``size`` over the smaller subs of the same key.
 
@@ -78,7 +89,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed:
     The ids are drawn from the label table alone, ``per_class`` of each class by a hash order, so that the
     list of ids is bounded and the texts need no shuffle. Texts over ``longest`` characters are left out of
     the sample (of training only), so the sample holds ``2 * per_class * longest`` characters at most.
-    Null labels count as none. Ids that are labelled twice with different classes are left out.
+    Null labels count as none. Ids that are labelled twice with different classes are left out. Of several
+    texts under one id the first in the order of texts counts.
     """
     given = labels.where(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     each = given.groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other").drop("other")
@@ -88,5 +100,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed:
         return [], counts
     wanted = docs.sparkSession.createDataFrame(picks, each.schema)
     text = F.col(text_col).cast("string")
-    found = docs.where(F.length(text) <= longest).select(F.col(id_col), text.alias("_text")).join(F.broadcast(wanted), id_col).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col)
+    found = docs.where(F.length(text) <= longest).select(F.col(id_col), text.alias("_text")).where("_text IS NOT NULL").join(F.broadcast(wanted), id_col)
+    found = found.groupBy(id_col).agg(F.min("_text").alias("_text"), F.first("label").alias("label")).orderBy(F.xxhash64(id_col), id_col)
     return [(r._text, r.label) for r in found.select("_text", "label").collect()], counts

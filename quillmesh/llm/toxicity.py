@@ -6,8 +6,8 @@ the edit automaton (insertions, deletions, substitutions and swaps of neighbours
 grows with the term's length), determinised as words are read, so a word that is like no term ends after a
 few steps. A misspelling that is an ordinary word of clean labelled texts does not count.
 
-Every hit is looked at in a window of words: quotation marks about it or words of reporting make it a
-quotation, otherwise it is abuse. Counts of quoted, exact and misspelled hits, set against the text's
+Every hit is looked at in a window of words: a pair of quotation marks about it or words of reporting make it
+a quotation, otherwise it is abuse. An apostrophe within a word is no mark. Counts of quoted, exact and misspelled hits, set against the text's
 length, go through a logistic model, calibrated to the label shares of the corpus.
 """
 
@@ -16,27 +16,29 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import labelled_sample, unused
 
 #: Common English insults, the part of the lexicon that is not learned.
 SEEDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "clown", "worthless", "pathetic", "disgusting", "imbecile", "bastard", "asshole", "bitch")
-#: Words that report speech, and marks of quotation.
+#: Words that report speech, and marks of quotation with those that may close them.
 REPORTING = frozenset("said says quoted wrote called told word words term quote reported dit mot sagte schrieb wort dijo palabra escribió".split())
-QUOTES = frozenset("\"“”„«»‘’'`")
+CLOSERS = {'"': '"', "“": "”“", "”": "”", "„": "“”", "«": "»", "»": "«»", "‘": "’", "’": "’", "'": "'", "`": "`'"}
+OPENING, CLOSING = "“„«‘", "”»"
+MARK = re.compile("[" + "".join(CLOSERS) + "]")
 WINDOW = 6
 #: What a misspelled and a quoted hit count against a plain one.
 MISSPELLED, QUOTED = 0.7, 0.1
 N_FEATURES = 5
 
 #: Bounds of the training sample: labelled texts per class, and characters of the longest.
-PER_CLASS, LONGEST = 2500, 50_000
+PER_CLASS, LONGEST = 4000, 50_000
 
 WORD = re.compile(r"[^\W_]+")
 STEM, WHOLE = 1, 2
@@ -198,6 +200,34 @@ def learn_lexicon(sample: list[tuple[str, int]], least: float = 22.0, lift: floa
     return words, stems, frozenset(ordinary)
 
 
+def marks(text: str, lo: int, hi: int) -> list[tuple[str, bool, bool]]:
+    """The quotation marks in a range of a text: (mark, may open, may close). One that opens has no letter or digit
+    before it and no white space after it; one that closes the other way round; so one between letters does neither.
+    White space inside does not matter to marks that show their direction."""
+    out = []
+    for m in MARK.finditer(text, lo, hi):
+        at = m.start()
+        before, after = text[at - 1 : at] if at else " ", text[at + 1 : at + 2] or " "
+        opens = not before.isalnum() and (m[0] in OPENING or not after.isspace())
+        closes = not after.isalnum() and (m[0] in CLOSING or not before.isspace())
+        if opens or closes:
+            out.append((m[0], opens, closes))
+    return out
+
+
+def in_quotes(text: str, lo: int, start: int, end: int, hi: int) -> bool:
+    """Whether a pair of marks stands about ``start`` to ``end`` of a text, within ``lo`` to ``hi``: one opened
+    before and not closed there, and the first of its closers after."""
+    waits: list[str] = []
+    for mark, opens, closes in marks(text, lo, start):
+        at = next((k for k in range(len(waits) - 1, -1, -1) if mark in waits[k]), None) if closes else None
+        if at is not None:
+            del waits[at:]
+        elif opens:
+            waits.append(CLOSERS[mark])
+    return any(closes and any(mark in w for w in waits) for mark, _, closes in marks(text, end, hi)) if waits else False
+
+
 class Model:
     """The lexicon with its automaton, and the weights of the score."""
 
@@ -235,10 +265,9 @@ class Model:
                 if w not in among:
                     continue
                 number, errors = hits[w]
-                lo, hi = spans[max(0, i - WINDOW)].start(), spans[min(len(words) - 1, i + WINDOW)].end()
-                before, after = text[lo : spans[i].start()], text[spans[i].end() : hi]
-                marked = (QUOTES & set(before)) and (QUOTES & set(after))
-                if marked or REPORTING & set(words[max(0, i - WINDOW) : i]):
+                lo = spans[i - WINDOW - 1].end() if i > WINDOW else 0
+                hi = spans[i + WINDOW + 1].start() if i + WINDOW + 1 < len(words) else len(text)
+                if REPORTING & set(words[max(0, i - WINDOW) : i]) or in_quotes(text, lo, *spans[i].span(), hi):
                     quoted += 1
                 elif errors:
                     wrong += 1
@@ -290,10 +319,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     return train(*labelled_sample(docs, labels, label_col, allowed, per_class, longest, id_col, text_col))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1) of every row's whole text; with ``keep`` all columns and ``_score``.
-
-    A null or empty text has no hits. Rows stay one to one; other columns are not looked at."""
+def scorer(docs: DataFrame, model: Model) -> Callable[[Column], Column]:
+    """The score of a text column by a model that is sent to the executors."""
     state = (model.words, model.stems, model.automaton, model.ordinary, model.mean, model.spread, model.weights, model.bias)
     shared = docs.sparkSession.sparkContext.broadcast(state)
 
@@ -305,10 +332,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part in parts:
             yield pd.Series(own.score([t if isinstance(t, str) else None for t in part]), dtype="float64")
 
-    scored = run.asNondeterministic()(F.col(text_col).cast("string"))
-    return docs.withColumn("_score", scored) if keep else docs.select(id_col, scored.alias("score"))
+    return run.asNondeterministic()
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``score`` (0 to 1) of every row's whole text.
+
+    A null or empty text has no hits and is scored like any text without. Rows stay one to one, repeats too;
+    other columns are not looked at; an empty table gives an empty result."""
+    return docs.select(id_col, scorer(docs, model)(F.col(text_col).cast("string")).alias("score"))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold."""
-    return score(docs, model, text_col=text_col, keep=True).where(F.col("_score") < threshold).drop("_score")
+    """The rows of ``docs`` whose score is below the threshold, with the columns of ``docs`` whatever their names.
+
+    Null and empty texts are scored like any text without hits; repeated rows stay or go together; an empty
+    table gives an empty result."""
+    (own,) = unused(docs.columns, "_score")
+    return docs.withColumn(own, scorer(docs, model)(F.col(text_col).cast("string"))).where(F.col(own) < threshold).drop(own)

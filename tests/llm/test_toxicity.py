@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -51,6 +52,69 @@ def test_context_and_nulls():
     assert model.score(["word " * 300_000 + "idiot"])[0] < abuse
 
 
+def test_apostrophes_and_unpaired_marks_are_no_quotation():
+    model = toxicity.train([], {})
+    abuse = [
+        "i'm telling you: you're an idiot, y'all know it's true",
+        "don't be stupid, you idiot, it's the dogs' dinner",
+        'a 6" pipe, you idiot moron, and one of 7" length',
+        'see "one" you idiot moron and "two" there',
+        "he’s an idiot and she’s a moron, it’s so",
+        "«yes» idiot moron «no»",
+    ]
+    quotes = ['he "is an idiot moron" ok', "so “an idiot, a moron” it was", "the 'idiot moron' bit", "das „idiot moron“ da", "les « idiot moron » ici", "it's 'an idiot moron' it's", "»idiot moron« also"]
+    assert all(s > 0.5 for s in model.score(abuse)) and all(s < 0.5 for s in model.score(quotes))
+
+
+def plain_features(model, text):
+    """Word by word, with nothing shared: hits by distance, marks paired by a plain scan of the window."""
+    spans, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        if end > at:
+            spans.append((at, end))
+        at = max(end, at + 1)
+    words = [text[a:b] for a, b in spans]
+    counts, terms = [0, 0, 0], set()
+    for i, w in enumerate(words):
+        hit = min([(distance(t, w), n) for n, (t, kind) in enumerate(model.automaton.terms) if kind == toxicity.WHOLE and distance(t, w) <= toxicity.allowed_errors(t)], default=None)
+        if hit is None or hit[0] and w in model.ordinary:
+            continue
+        terms.add(hit[1])
+        lo, hi = (spans[i - 7][1] if i > 6 else 0), (spans[i + 7][0] if i + 7 < len(spans) else len(text))
+        opened = []
+        quoted = any(words[j] in toxicity.REPORTING for j in range(max(0, i - 6), i))
+        for k in range(lo, hi):
+            c = text[k]
+            if c not in toxicity.CLOSERS:
+                continue
+            left, right = text[k - 1] if k else " ", text[k + 1] if k + 1 < len(text) else " "
+            opens, closes = not left.isalnum() and (c in "“„«‘" or not right.isspace()), not right.isalnum() and (c in "”»" or not left.isspace())
+            if k >= spans[i][1]:
+                quoted |= closes and any(c in toxicity.CLOSERS[o] for o in opened)
+            elif k < spans[i][0]:
+                fits = [n for n, o in enumerate(opened) if c in toxicity.CLOSERS[o]]
+                if closes and fits:
+                    opened = opened[: fits[-1]]
+                elif opens:
+                    opened.append(c)
+        counts[0 if quoted else 1 if hit[0] else 2] += 1
+    quoted, wrong, plain = counts
+    sure, n = plain + 0.7 * wrong + 0.1 * quoted, math.log(1 + len(words))
+    return [math.log(1 + sure), math.log(1 + len(terms)), math.log(1 + sure) * n / 6, n, min(1.0, sure)]
+
+
+def test_window_and_features_against_brute_force():
+    rng = random.Random(8)
+    model = toxicity.Model(["idiot", "moron", "scum"], [], frozenset({"idiom"}))
+    bits = ["idiot", "moron", "idoit", "idiom", "morom", "scum", "said", "ok", "it's", "a", "'", '"', "“", "”", "„", "«", "»", "’", "`", " ", " ", " ", ", ", "!"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 45)))
+        assert np.allclose(model.features(text), plain_features(model, text)), text
+
+
 def corpus(n=900):
     rng = random.Random(2)
     syllables = ["ka", "lo", "mi", "tru", "ven", "po", "sha", "ri", "do", "en"]
@@ -86,3 +150,28 @@ def test_nulls_repeats_and_empty(spark):
     model = toxicity.learn(docs, none, fold("doc_id", 5) != 0)
     assert sorted(r.score > 0.5 for r in toxicity.score(docs, model).collect()) == [False, False, False, True]
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a fine day", "own", 2), (2, "you idiot moron scum", "mine", 3), (None, None, None, None)], "doc_id long, text string, _score string, __SCORE int")
+    kept = toxicity.reject(docs, toxicity.train([], {}))
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.where("doc_id = 1 OR doc_id IS NULL").collect()))
+
+
+def test_sample_takes_the_same_text_of_a_repeated_id(spark):
+    from quillmesh.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, t) for t in "bca"] + [(2, "x"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (3, 0)], "doc_id long, toxic int")
+    for n in (1, 3):
+        sample, counts = labelled_sample(docs.repartition(n), labels, "toxic", F.lit(True), 10, 10)
+        assert sorted(sample) == [("a", 1), ("x", 0)] and counts == {0: 1, 1: 1}
+
+
+def test_query(spark):
+    from quillmesh.llm import queries
+
+    rows = queries.op3_toxicity(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
