@@ -2,17 +2,21 @@
 
 Texts and benchmark items are normalised (lower case, anything but letters and digits one space). An item is
 leaked where a region of it, of half of its length or ``LEAST`` characters if that is more (but never more than
-all of it) or longer, stands in a text with edits of at most a tenth of the region's length.
+all of it) or longer, stands in a text with edits of at most a tenth of the region's length. An item of fewer than
+ten characters, which allows no edit, is leaked where it stands in a text as whole words.
 
 By the q-gram lemma a region of m characters with k edits shares at least m + 1 - q (k + 1) q-grams with its
-copy, and these lie within k + 1 neighbouring diagonals (place in the text less place in the item). So hits
+copy, and these lie within k + 1 neighbouring diagonals (place in the text less place in the item). ``Q`` is 8 or,
+for a short item, the most for which this bound is 1 or more, so that it always holds something. Hits
 are counted per text, item and band of diagonals; bands overlap by half, so that any k + 1 neighbouring
 diagonals lie within one. Bands that reach the bound are verified: along the best single diagonal first, then by
-banded local alignment, whose best span may be a leak, and where it is none by the rule itself: banded edit
-distances from every start of a region.
+banded local alignment. A region of m characters with m / 10 edits scores m / 2 or more there, so what
+scores less is no leak; the best span may be a leak itself; and else the rule itself decides: banded edit distances
+from every start of a region.
 
 The items are a stated query set: they are sent to the executors in blocks of at most ``BLOCK_CHARS``
-characters, a pass over the texts for each block, and every text is searched whole.
+characters, a pass over the texts for each block (of several blocks in one go where rows are only kept or left),
+and every text is searched whole. Hits are expanded in steps of a bounded number.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import Scratch, unused
 
 Q = 8
 ERRORS = 0.1
 LEAST = 64
 COVER = 0.5
 BLOCK_CHARS = 4_000_000
-#: What an edit costs in the local alignment where an equal letter earns 1.
+#: What an edit costs in the local alignment where an equal letter earns 1; a lost letter and four more make five.
 EDIT = 4
 #: Letters that a region needs for each edit in it.
 PER_EDIT = round(1 / ERRORS)
@@ -39,8 +46,12 @@ PER_EDIT = round(1 / ERRORS)
 CELLS = 1 << 20
 #: Bytes of text that are looked at in one go.
 CHUNK = 1 << 20
-#: Candidates that are aligned together.
+#: Candidates that are aligned together, at most.
 TOGETHER = 64
+#: Hits that are expanded in one go, pairs of text and item that are counted in one go, and blocks of items in one pass.
+STEP, PAIRS, PER_PASS = 1 << 22, 1 << 22, 4
+#: Bands that are verified as one stretch, at most.
+STRETCH = 32
 
 #: ASCII letters, digits and all bytes of other characters stay; anything else is a space.
 TABLE = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -70,71 +81,125 @@ def places(text: str) -> np.ndarray:
     return np.append(chars[kept], chars[kept[-1]] + 1 if len(kept) else 0)
 
 
-class Index:
-    """The q-grams of a block of items."""
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The q bytes from each place as one number."""
+    padded = np.concatenate((data, np.zeros(8 - q, np.uint8)))
+    whole = np.ndarray((max(0, len(data) - q + 1),), "<u8", padded, strides=(1,))
+    return whole & np.uint64((1 << 8 * q) - 1)
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.ids = [i for i, text in items if len(text) >= Q]
-        self.texts = [text for _, text in items if len(text) >= Q]
-        sizes = np.array([len(t) for t in self.texts], np.int64)
-        self.region = np.minimum(sizes, np.maximum(np.ceil(sizes * COVER).astype(np.int64), LEAST))
-        # the bound is least for one of ten lengths, as it falls where one more edit is allowed
-        longer = np.minimum(self.region[:, None] + np.arange(PER_EDIT), sizes[:, None])
-        self.least = np.maximum(1, (longer + 1 - Q * (longer // PER_EDIT + 1)).min(1, initial=1 << 40))
-        # edits of a region as long as the item, and one
-        self.width = sizes // PER_EDIT + 1
-        grams = [self.grams(np.frombuffer(t, np.uint8)) for t in self.texts]
-        all_grams = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        order = np.argsort(all_grams, kind="stable")
-        self.values, self.first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
+
+class Part:
+    """The q-grams of some items of a block, by one q; with ``whole`` only the first of each item."""
+
+    def __init__(self, q: int, numbers: list[int], texts: list[bytes], whole: bool = False):
+        self.q, self.numbers = q, np.array(numbers, np.int64)
+        each = [grams(np.frombuffer(texts[i], np.uint8), q)[: 1 if whole else None] for i in numbers]
+        every = np.concatenate(each)
+        item = np.repeat(np.arange(len(each)), [len(g) for g in each])
+        at = np.concatenate([np.arange(len(g)) for g in each])
+        order = np.argsort(every, kind="stable")
+        self.values, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.item, self.at = item[order], at[order]
         self.there = np.zeros(1 << BITS, bool)
         self.there[self.slot(self.values)] = True
 
     @staticmethod
-    def grams(data: np.ndarray) -> np.ndarray:
-        """The q bytes from each place as one number."""
-        return np.ndarray((max(0, len(data) - Q + 1),), "<u8", data if data.flags.c_contiguous else data.copy(), strides=(1,))
-
-    @staticmethod
-    def slot(grams: np.ndarray) -> np.ndarray:
-        return (grams * MIX >> np.uint64(64 - BITS)).astype(np.int64)
+    def slot(values: np.ndarray) -> np.ndarray:
+        return (values * MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the data, gram number) wherever a gram of some item stands."""
         at, number = [], []
         for lo in range(0, len(data), CHUNK):
-            grams = self.grams(data[lo : lo + CHUNK + Q - 1])
-            maybe = np.flatnonzero(self.there[self.slot(grams)])
-            value = grams[maybe]
+            value = grams(data[lo : lo + CHUNK + self.q - 1], self.q)
+            maybe = np.flatnonzero(self.there[self.slot(value)])
+            value = value[maybe]
             near = np.searchsorted(self.values, value).clip(max=len(self.values) - 1)
             same = self.values[near] == value
             at.append(maybe[same] + lo)
             number.append(near[same])
         return (np.concatenate(at), np.concatenate(number)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
-    def candidates(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, lowest and highest diagonal, best diagonal) of the bands that reach the bound."""
-        if not self.texts or not texts:
-            return []
-        starts = np.cumsum([0] + [len(t) + Q for t in texts])
-        at, number = self.hits(np.frombuffer((b"\0" * Q).join(texts), np.uint8))
+    def steps(self, number: np.ndarray) -> list[slice]:
+        """Runs of hits with at most about ``STEP`` entries."""
+        upto = np.cumsum(self.count[number])
+        cuts = np.searchsorted(upto, np.arange(STEP, int(upto[-1]) + 1, STEP), "right") if len(upto) else np.empty(0, np.int64)
+        edges = sorted({0, len(number), *cuts.tolist()})
+        return [slice(a, b) for a, b in zip(edges, edges[1:])]
+
+    def entries(self, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the data, item in this part, place in the item) of each hit with each item that has its gram."""
         many = self.count[number]
         entry = np.repeat(self.first[number] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        at = np.repeat(at, many)
+        return np.repeat(at, many), self.item[entry], self.at[entry]
+
+
+class Index:
+    """The q-grams of a block of items. Items without a letter or digit match nothing."""
+
+    def __init__(self, items: list[tuple[object, bytes]]):
+        self.ids = [i for i, text in items if text]
+        self.texts = [text for _, text in items if text]
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.region = np.minimum(sizes, np.maximum(np.ceil(sizes * COVER).astype(np.int64), LEAST))
+        # the bound is least for one of ten lengths, as it falls where one more edit is allowed
+        longer = np.minimum(self.region[:, None] + np.arange(PER_EDIT), sizes[:, None])
+        edits = longer // PER_EDIT
+        q = (longer // (edits + 1)).min(1, initial=Q)
+        self.least = (longer + 1 - q[:, None] * (edits + 1)).min(1, initial=1 << 40)
+        # edits of a region as long as the item, and one
+        self.width = sizes // PER_EDIT + 1
+        tiny = sizes < PER_EDIT
+        self.parts = [Part(k, np.flatnonzero((q == k) & ~tiny).tolist(), self.texts) for k in sorted(set(q[~tiny].tolist()))]
+        self.exact = [Part(k, np.flatnonzero((q == k) & tiny).tolist(), self.texts, True) for k in sorted(set(q[tiny].tolist()))]
+
+    def candidates(self, part: Part, texts: list[bytes], number: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, lowest and highest diagonal, best diagonal or -1) of the bands that reach the bound."""
+        n = len(part.numbers)
+        if len(texts) * n > PAIRS and len(texts) > 1:
+            half = len(texts) // 2
+            yield from self.candidates(part, texts[:half], number)
+            yield from self.candidates(part, texts[half:], number + half)
+            return
+        starts = np.cumsum([0] + [len(t) + Q for t in texts])
+        at, gram = part.hits(np.frombuffer((b"\0" * Q).join(texts), np.uint8))
+        steps = part.steps(gram)
+        if not steps:
+            return
+        total, held = np.zeros(len(texts) * n, np.int64), None
+        for step in steps:  # pairs with too few hits in all need no bands
+            held = self.paired(part, starts, at[step], gram[step])
+            total += np.bincount(held[0], minlength=len(total))
+        good = np.flatnonzero(total >= np.tile(self.least[part.numbers], len(texts)))
+        heavy = good[total[good] > STEP]
+        for pair in heavy.tolist():  # one text and item with very many equal grams: every band is verified
+            t, i = pair // n, int(part.numbers[pair % n])
+            width = int(self.width[i])
+            for lo in range(-len(self.texts[i]), len(texts[t]), STRETCH * width):
+                yield number + t, i, lo, lo + (STRETCH + 1) * width - 1, -1
+        good = good[total[good] <= STEP]
+        group = np.cumsum(total[good]) // STEP
+        for k in np.unique(group).tolist():
+            wanted = np.zeros(len(total), bool)
+            wanted[good[group == k]] = True
+            some = []
+            for step in steps:
+                found = held if len(steps) == 1 else self.paired(part, starts, at[step], gram[step])
+                stays = wanted[found[0]]
+                some.append([x[stays] for x in found])
+            for t, *rest in self.banded(*map(np.concatenate, zip(*some)), part):
+                yield number + t, *rest
+
+    def paired(self, part: Part, starts: np.ndarray, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair of text and item, place in the item, diagonal) of hits."""
+        at, item, place = part.entries(at, gram)
         text = np.searchsorted(starts, at, "right") - 1
-        item, place = self.item[entry], self.at[entry]
-        pair = text * len(self.texts) + item
-        if len(texts) * len(self.texts) <= 1 << 24:  # pairs with too few hits in all need no bands
-            enough = np.bincount(pair, minlength=1)[pair] >= self.least[item]
-            at, text, item, place, pair = at[enough], text[enough], item[enough], place[enough], pair[enough]
-        if not len(at):
-            return []
-        diagonal = at - starts[text] - place
+        return text * len(part.numbers) + item, place, at - starts[text] - place
+
+    def banded(self, pair: np.ndarray, place: np.ndarray, diagonal: np.ndarray, part: Part) -> Iterator[tuple[int, int, int, int, int]]:
         order = np.lexsort((diagonal, pair))
-        pair, diagonal, place, item = pair[order], diagonal[order], place[order], item[order]
+        pair, diagonal, place = pair[order], diagonal[order], place[order]
+        item = part.numbers[pair % len(part.numbers)]
         band = diagonal // self.width[item]
         low = int(band.min())
         span = int(band.max()) - low + 2
@@ -147,59 +212,78 @@ class Index:
         last[twin] = ends[twin + 1]
         good = np.flatnonzero(last - heads >= self.least[item[heads]])
         out: list[list[int]] = []
-        for a, b in zip(heads[good].tolist(), last[good].tolist()):
+        for a, own, b in zip(heads[good].tolist(), ends[good].tolist(), last[good].tolist()):
             i = int(item[a])
-            if self.gathered(place[a:b], i):
+            if self.gathered(place[a:b], i, part.q):
                 width = int(self.width[i])
-                t, lo = int(pair[a]) // len(self.texts), int(band[a]) * width
-                if out and out[-1][:2] == [t, i] and lo <= out[-1][3]:
-                    out[-1][3], out[-1][5] = lo + 2 * width - 1, b
+                t, hi = int(pair[a]) // len(part.numbers), (int(band[a]) + 2) * width - 1
+                # where b has enough hits alone, the region may lie in b - 1 and b, though b - 1 may have none
+                lo = (int(band[a]) - (own - a >= self.least[i])) * width
+                if out and out[-1][:2] == [t, i] and lo <= out[-1][3] and lo - out[-1][2] < STRETCH * width:
+                    out[-1][3], out[-1][5] = hi, b
                 else:
-                    out.append([t, i, lo, lo + 2 * width - 1, a, b])
-        found = []
+                    out.append([t, i, lo, hi, a, b])
         for t, i, lo, hi, a, b in out:
             values, counts = np.unique(diagonal[a:b], return_counts=True)
-            found.append((t, i, lo, hi, int(values[counts.argmax()])))
-        return found
+            yield t, i, lo, hi, int(values[counts.argmax()])
 
-    def gathered(self, place: np.ndarray, i: int) -> bool:
+    def gathered(self, place: np.ndarray, i: int, q: int) -> bool:
         """Whether some region of the item has enough grams among those hit."""
         own = np.unique(place)
         region = int(self.region[i])
-        within = np.searchsorted(own, own + region - Q, "right") - np.arange(len(own))
+        within = np.searchsorted(own, own + region - q, "right") - np.arange(len(own))
         if within.max() >= self.least[i]:
             return True
         # a longer region of m characters has m + 1 - q (m / 10 + 1) grams or more, if not in any part of ``region``
-        spare = PER_EDIT * np.arange(len(own)) - (PER_EDIT - Q) * own
-        first = np.searchsorted(own, own + Q - region, "right") - 1
+        spare = PER_EDIT * np.arange(len(own)) - (PER_EDIT - q) * own
+        first = np.searchsorted(own, own + q - region, "right") - 1
         long = np.flatnonzero(first >= 0)
         least = np.minimum.accumulate(spare)[first[long]]
-        return bool(len(long) and (spare[long] - least).max() >= (PER_EDIT - Q) * Q - PER_EDIT * Q)
+        return bool(len(long) and (spare[long] - least).max() >= (PER_EDIT - q) * q - PER_EDIT * q)
+
+    def whole_words(self, part: Part, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+        """Where the items of a part stand as whole words, without edits."""
+        starts = np.cumsum([0] + [len(t) + Q for t in texts])
+        at, gram = part.hits(np.frombuffer((b"\0" * Q).join(texts), np.uint8))
+        for step in part.steps(gram):
+            where, items, _ = part.entries(at[step], gram[step])
+            owner = np.searchsorted(starts, where, "right") - 1
+            for t, i, a in zip(owner.tolist(), part.numbers[items].tolist(), (where - starts[owner]).tolist()):
+                text, b = texts[t], a + len(self.texts[i])
+                if text[a:b] == self.texts[i] and text[a - 1 : a] in (b"", b" ") and text[b : b + 1] in (b"", b" "):
+                    yield t, i, a, b, 0, b - a, 0
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, int, int]]:
         """(text, item, start and end in the text, start and end in the item, edits) of all leaks; one for
         each stretch of diagonals."""
-        out, open_ones = [], []
-        for t, i, lo, hi, best in self.candidates(texts):
-            n = len(self.texts[i])
-            if best >= 0 and texts[t][best : best + n] == self.texts[i]:
-                out.append((t, i, best, best + n, 0, n, 0))
-            else:
-                open_ones.append((hi - lo, t, i, lo, hi))
+        out, open_ones = set(), []
+        for part in self.exact:
+            out.update(self.whole_words(part, texts))
+        for part in self.parts:
+            for t, i, lo, hi, best in self.candidates(part, texts):
+                n = len(self.texts[i])
+                if best >= 0 and texts[t][best : best + n] == self.texts[i]:
+                    out.add((t, i, best, best + n, 0, n, 0))
+                else:
+                    open_ones.append((hi - lo, t, i, lo, hi))
         open_ones.sort()
-        for k in range(0, len(open_ones), TOGETHER):
-            some = open_ones[k : k + TOGETHER]
-            for (_, t, i, lo, hi), got in zip(some, align([(self.texts[i], texts[t], lo, hi) for _, t, i, lo, hi in some])):
-                if not (got and got[3] - got[2] >= self.region[i] and got[4] <= ERRORS * (got[3] - got[2])):
-                    got = region(self.texts[i], texts[t], lo, hi, int(self.region[i]))
+        while open_ones:
+            many = max(1, min(TOGETHER, CELLS // (open_ones[min(TOGETHER, len(open_ones)) - 1][0] + 1)))
+            some, open_ones = open_ones[:many], open_ones[many:]
+            for (_, t, i, lo, hi), (score, *got) in zip(some, align([(self.texts[i], texts[t], lo, hi) for _, t, i, lo, hi in some])):
+                least = int(self.region[i])
+                if 2 * score < least:
+                    continue
+                if not (got[3] - got[2] >= least and got[4] <= ERRORS * (got[3] - got[2])):
+                    got = region(self.texts[i], texts[t], lo, hi, least)
                 if got:
-                    out.append((t, i, *got))
+                    out.add((t, i, *got))
         return sorted(out)
 
 
-def align(pairs: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int, int, int, int] | None]:
+def align(pairs: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """For each (item, text, lowest and highest diagonal) the best local alignment within these diagonals:
-    (text start, end, item start, end, edits), or None where no letter is equal.
+    (score, text start, end, item start, end, edits), of score 0 where no letter is equal.
 
     An equal letter earns 1 and an edit costs ``EDIT``. All pairs go together: a row is one letter of every
     item, its columns are the diagonals."""
@@ -242,7 +326,7 @@ def align(pairs: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int, in
         if len(better):
             c = k[better]
             best[better] = np.column_stack((score[better, c], begin_t[better, c], at[better, c] + 1, begin_i[better, c], np.full(len(c), i + 1), edits[better, c]))
-    return [tuple(b[1:].tolist()) if b[0] else None for b in best]
+    return [tuple(b.tolist()) for b in best]
 
 
 def step(edits: np.ndarray, equal: np.ndarray, inside: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -308,8 +392,7 @@ def region(item: bytes, text: bytes, lo: int, hi: int, least: int) -> tuple[int,
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS) -> Iterator[Index]:
-    """Indexes of the items, at most about ``most`` characters each. Null or short items (under q letters
-    when normalised) have no q-grams and match nothing."""
+    """Indexes of the items, at most about ``most`` characters each; one without items for an empty table."""
     text = F.col(text_col).cast("string")
     total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     n = max(1, -(-total // most))
@@ -335,10 +418,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row for each leak: ``id_col``, ``item_col``, ``start`` and ``end`` (characters of the text),
     ``item_start`` and ``item_end`` (bytes of the normalised item) and ``edits``.
 
-    Documents without leaks, null and empty texts give no row; repeated rows give theirs each time. Columns
-    that are not named are not looked at. An empty table on either side gives an empty result."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` long, start long, end long, item_start long, item_end long, edits long"
-    names = [id_col, item_col, "start", "end", "item_start", "item_end", "edits"]
+    Ids are of any plain type and may be null. Where both tables have the same name for theirs, the item's gets an
+    underscore in front. Documents without leaks, null and empty texts give no row; repeated rows give theirs each
+    time. Columns that are not named are not looked at. An empty table on either side gives an empty result."""
+    (named,) = unused([id_col, "start", "end", "item_start", "item_end", "edits"], item_col)
+    kind = benchmark.schema[item_col].dataType
+    own = to_arrow_type(kind)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{named}` {kind.simpleString()}, start long, end long, item_start long, item_end long, edits long"
+    names = [id_col, named, "start", "end", "item_start", "item_end", "edits"]
+    kinds = [own, *[pa.int64()] * 5]
     slim = docs.select(id_col, F.col(text_col).cast("string"))
     out = None
     for index in blocks(benchmark, item_col, item_text):
@@ -352,7 +440,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                         at = places(texts[first + t])
                         which.append(first + t)
                         rows.append((shared.value.ids[i], int(at[a]), int(at[b - 1]) + 1, c, d, e))
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
+                columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *columns], names=names)
 
         part = slim.mapInArrow(run, schema)
@@ -374,9 +462,17 @@ def leaked(shared: Broadcast) -> Callable:
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any leak, with the columns of ``docs``; nothing is shuffled."""
-    for index in blocks(benchmark, item_col, item_text):
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", most: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` without any leak, with the columns of ``docs``; nothing is shuffled.
+
+    Null and empty texts hold no leak and stay; repeated rows stay or go together; other columns, whatever
+    their names, come along; an empty table on either side does no harm. ``PER_PASS`` blocks of items are searched
+    in one pass; what they leave of a larger benchmark's first blocks is written once before the next pass, so that a
+    worker never holds more blocks than that."""
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    for k, index in enumerate(blocks(benchmark, item_col, item_text, most)):
+        if k and k % PER_PASS == 0:
+            docs = scratch.table(docs)
         shared = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.where(~leaked(shared)(F.col(text_col).cast("string")))
     return docs

@@ -42,8 +42,8 @@ def test_search_equals_brute_force():
     want = set()
     for t, text in enumerate(own):
         for i, item in enumerate(index.texts):
-            (best,) = d.align([(item, text, -len(item), len(text))])
-            if best and best[3] - best[2] >= index.region[i] and best[4] <= d.ERRORS * (best[3] - best[2]):
+            ((_, *best),) = d.align([(item, text, -len(item), len(text))])
+            if best[3] - best[2] >= index.region[i] and best[4] <= d.ERRORS * (best[3] - best[2]):
                 want.add((t, i))
     assert len(want) > 20 and got == want
 
@@ -54,7 +54,7 @@ def test_spans_and_edges(spark):
     clean = prose(random.Random(2), 300)
     rows = [(1, None), (2, ""), (3, clean), (4, f"Before -- É. {item.upper().replace(' ', ',  ')}! after"), (4, f"Before -- É. {item.upper().replace(' ', ',  ')}! after"), (None, item), (5, clean + " " + clean * 400 + item)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("edits", F.lit(1))
-    benchmark = spark.createDataFrame([(9, item), (10, None), (11, ""), (12, "short")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(9, item), (10, None), (11, ""), (12, "short"), (13, "?!")], "item_id long, text string")
     got = d.leaks(docs, benchmark).collect()
     assert sorted((r.doc_id or 0, r.item_id, r.edits) for r in got) == [(0, 9, 0), (4, 9, 0), (4, 9, 0), (5, 9, 0)]
     text = rows[3][1]
@@ -89,6 +89,83 @@ def stands(item, text, region):
     return False
 
 
+def clustered(rng, item, edits):
+    """A copy with its edits at one place or spread, of any kind."""
+    copy, middle, near = bytearray(item), rng.randrange(len(item)), rng.random() < 0.6
+    for _ in range(edits):
+        at = min(len(copy) - 1, max(0, middle + rng.randint(-3, 3))) if near else rng.randrange(len(copy))
+        copy[at : at + 1] = rng.choice([b"", b"q" + copy[at : at + 1], b"w", b"j"])
+    return bytes(copy)
+
+
+def test_short_items_by_the_rule_itself():
+    """Every length from 1 to 80, with as many edits as the rule allows and one more, at one place or spread."""
+    rng = random.Random(21)
+    letters = "abcdefghiklmnoprstu"
+    found = missed = 0
+    for n in [*range(1, 81)] * 4:
+        item = "".join(rng.choice(letters) if rng.random() > 0.16 else " " for _ in range(n)).encode()
+        item = b" ".join(item.split()) or b"x"
+        most = len(item) // 10
+        copy = clustered(rng, item, rng.choice([0, most, most, most, most + 1])) if len(item) >= 10 else rng.choice([item, item + b"s", b"s" + item])
+        noise = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(12)]
+        text = d.normal(" ".join(noise[:6]) + " " + copy.decode() + " " + " ".join(noise[6:]))
+        index = d.Index([("id", item), ("none", b"")])
+        got = index.search([b"", text])
+        want = stands(item, text, int(index.region[0])) if len(item) >= 10 else b" " + item + b" " in b" " + text + b" "
+        assert bool(got) == want, (item, text)
+        assert all(t == 1 for t, *_ in got)
+        found, missed = found + want, missed + (not want)
+    assert found > 150 and missed > 40
+
+
+def test_bounded_steps_find_the_same(monkeypatch):
+    """Small steps, split runs, and pairs with more equal grams than a step: the same texts and items are found."""
+    items, texts = cases()
+    items += [(100, "la " * 40), (101, "la" * 9)]
+    texts += ["la " * 700, "x " * 50 + "la " * 45, "lalalalalalalalala"]
+    index = d.Index([(i, d.normal(t)) for i, t in items])
+    own = [d.normal(t) for t in texts]
+    whole = {x[:2] for x in index.search(own)}
+    monkeypatch.setattr(d, "STEP", 500)
+    monkeypatch.setattr(d, "PAIRS", 40)
+    monkeypatch.setattr(d, "CELLS", 5000)
+    assert {x[:2] for x in index.search(own)} == whole and len(whole) > 25
+
+
+def test_ids_of_any_type_and_equal_names(spark):
+    rng = random.Random(4)
+    item = prose(rng, 30)
+    docs = spark.createDataFrame([("d1", f"so {item} it is"), (None, item), ("d3", "clean")], "id string, text string")
+    benchmark = spark.createDataFrame([("a", item), (None, item), ("b", None)], "id string, text string")
+    got = d.leaks(docs, benchmark, id_col="id", item_col="id")
+    assert got.columns[:2] == ["id", "_id"]
+    assert sorted(str(tuple(r)[:2]) for r in got.collect()) == sorted(map(str, [("d1", "a"), ("d1", None), (None, "a"), (None, None)]))
+    assert [r.id for r in d.decontaminate(docs, benchmark, item_col="id").collect()] == ["d3"]
+
+
+def test_passes_over_many_blocks(spark):
+    items, texts = cases()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(r.doc_id for r in d.decontaminate(docs, benchmark).collect())
+    many = sorted(r.doc_id for r in d.decontaminate(docs, benchmark, most=300).collect())
+    assert one == many and 0 < len(one) < len(texts)
+
+
+def test_query(spark):
+    from quillmesh.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.op2_decontamination(spark, sf).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: d.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    exact = {(i, k) for i, t in docs.items() for own in [d.normal(t)] for k, item in items.items() if item in own}
+    assert exact <= {(r.doc_id, r.item_id) for r in rows} and rows
+    for r in rows:
+        assert 0 <= r.start < r.end <= len(docs[r.doc_id]) and 10 * r.edits <= r.item_end - r.item_start
+
+
 def test_regions_by_the_rule_itself():
     """One word of a short item replaced, edits unevenly spread, and near misses: leaks as the rule says."""
     rng = random.Random(11)
@@ -121,6 +198,6 @@ def test_regions_by_the_rule_itself():
                     new.append(min(row[k] + (x != y), row[k + 1] + 1, new[k] + 1))
                 row = new
             assert row[-1] <= edits
-        (best,) = d.align([(item, text, -len(item), len(text))])
-        spanned += bool(best and best[3] - best[2] >= region and best[4] <= d.ERRORS * (best[3] - best[2]))
+        ((_, *best),) = d.align([(item, text, -len(item), len(text))])
+        spanned += bool(best[3] - best[2] >= region and best[4] <= d.ERRORS * (best[3] - best[2]))
     assert spanned < leaked < len(pairs)
