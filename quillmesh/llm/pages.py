@@ -5,9 +5,11 @@ nearest earlier page of another path (the first one with the next) by the longes
 their blocks, and blocks that both share are deleted: menus, notices and footers that a site repeats.
 
 What a page's own markup says goes before what a neighbour shares. Blocks in elements that are named as navigation,
-footers, adverts, forms, comments and the like are left out even where no neighbour has them, and blocks
-in the page's article stay even where another article quotes them or is a copy. Where a page marks no
-article, differencing alone decides among its other blocks.
+footers, adverts, forms, comments and the like, by their element, role or class, are left out even where no
+neighbour has them, and blocks in an ``article`` or ``main`` stay even where another article quotes them or is a
+copy. Where a page marks no article, differencing alone decides among its other blocks.
+
+Parsing takes time linear in a page, whatever stands in it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,16 +32,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never part of an article, and those that are so unless they stand in one.
 OUTSIDE = frozenset("head nav footer aside form script style noscript template button select textarea iframe object svg math canvas audio video dialog menu search fieldset noembed noframes xmp title datalist".split())
-#: Words in class, id or role that name something else than the article.
+#: Classes that name something else than the article, whole or as the last part of a class: ``main-nav``.
 NAMES = frozenset(
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead banner footer colophon contentinfo sidebar side aside complementary widget widgets ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promoted notice notices cookie cookies consent gdpr alert popup modal overlay dialog form search login signup subscribe newsletter comment comments respond reply replies disqus share sharing social related recommended recommendations pagination pager toolbar skip legal copyright".split()
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs masthead banner footer colophon sidebar aside widget widgets ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion notice notices cookie cookies consent gdpr popup modal overlay newsletter comments respond disqus share sharing pagination pager toolbar".split()
 )
-#: Words in class, id or role that name the article.
-ARTICLE = frozenset("article main post entry story".split())
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
+#: Classes that do so where they stand whole only, and first parts that do: ``ad-slot``.
+WHOLE = NAMES | frozenset("side complementary promoted alert dialog form search login signup subscribe comment reply replies social related recommended recommendations skip legal copyright".split())
+FIRST = frozenset("nav navbar menu breadcrumb breadcrumbs ad ads advert cookie cookies consent sidebar footer share social related promo sponsor newsletter widget popup modal comment comments disqus".split())
+#: Roles that do so, and those of the article.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ARTICLE = frozenset("article main".split())
+
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+STOP = re.compile(r">|=\s*([\"'])")
+NAMED = re.compile(r"(?:^|[\s\"'/])(class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+PARTS = re.compile(r"[-_]+")
 
 LEFT_OUT, PLAIN, IN_ARTICLE = 0, 1, 2
 #: Pages in a part of the sorted pages, where there are more than the session's shuffle partitions hold.
@@ -47,85 +55,166 @@ PART = 10_000
 DRAWN = 50
 
 
-def named(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    return {w for m in NAMED.finditer(attributes) for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())}
+def other(name: str) -> bool:
+    """Whether a class names something else than the article."""
+    parts = PARTS.split(name)
+    return name in WHOLE or parts[-1] in NAMES or parts[0] in FIRST
 
 
 def standing(tag: str, attributes: str, now: int) -> int:
-    """How blocks in an element stand, given how those in its parent do."""
+    """How blocks in an element stand, given how those in its parent do. A header stands as its article does, and
+    is left out elsewhere. Ids say nothing, as headings have those of their words."""
     if now == LEFT_OUT or tag in OUTSIDE:
         return LEFT_OUT
-    if tag == "header" and now != IN_ARTICLE:
+    classes: list[str] = []
+    roles: list[str] = []
+    if "=" in attributes:
+        for m in NAMED.finditer(attributes):
+            (classes if m[1].lower() == "class" else roles).extend((m[2] or m[3] or m[4] or "").lower().split())
+    page = tag in ("html", "body")
+    header = tag == "header" or any(PARTS.split(c)[-1] == "header" for c in classes)
+    if not page and (header and now != IN_ARTICLE or not ROLES.isdisjoint(roles) or any(map(other, classes)) and tag != "main"):
         return LEFT_OUT
-    words = named(attributes)
-    if tag not in ("html", "body") and words & NAMES and not (words & ARTICLE and tag in ("article", "main")):
-        return LEFT_OUT
-    if tag in ("article", "main") or words & ARTICLE and tag not in ("html", "body"):
-        return IN_ARTICLE
-    return now
+    return IN_ARTICLE if tag in ARTICLE or not page and not ARTICLE.isdisjoint(roles) else now
+
+
+class Source:
+    """A page's text, with finds that never look twice where there is nothing."""
+
+    def __init__(self, page: str):
+        self.page, self.none, self.low = page, {}, None
+
+    def find(self, what: str, at: int) -> int:
+        if self.none.get(what, len(self.page) + 1) <= at:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none[what] = at
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place after the tag that goes on here: a ``>`` outside of quoted values; -1 where there is none."""
+        first = at
+        while m := STOP.search(self.page, at):
+            if not m[1]:
+                return m.end()
+            close = self.find(m[1], m.end())
+            if close < 0:  # a value that never ends: the next > ends the tag
+                close = self.find(">", m.end())
+                return close + 1 if close >= 0 else -1
+            at = close + 1
+        close = self.find(">", first)
+        return close + 1 if close >= 0 else -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the end tag of an element with raw text begins, or -1."""
+        if self.low is None:
+            self.low = Source(self.page.translate(LOWERED))
+        close = self.low.find(f"</{tag}", at)
+        while close >= 0 and self.page[close + 2 + len(tag) : close + 3 + len(tag)] not in (">", "/", "", *" \t\n\r\f"):
+            close = self.low.find(f"</{tag}", close + 2)
+        return close
+
+
+LOWERED = {i: i + 32 for i in range(65, 91)}
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(standing, text) of a page's blocks in order, without empty ones: references decoded, white space
-    inside as one space."""
+    inside as one space. What is left out within a line does not part its block."""
     page = page or ""
+    source = Source(page)
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    parts: list[str] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, how its parent stands, whether it keeps the parent's block open
+    open_tags: Counter[str] = Counter()
+    parts: list[list[str]] = [[]]
     now, at = PLAIN, 0
 
     def flush() -> None:
-        text = " ".join("".join(parts).split())
+        text = " ".join("".join(parts[-1]).split())
         if text:
             out.append((now, text))
-        parts.clear()
+        parts[-1].clear()
 
-    while True:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+    def add(text: str) -> None:
         if text:
-            parts.append(html.unescape(text) if "&" in text else text)
-        if not m:
+            parts[-1].append(html.unescape(text) if "&" in text else text)
+
+    def pop() -> str:
+        nonlocal now
+        tag, before, inline = stack.pop()
+        open_tags[tag] -= 1
+        if inline or before != now:
+            flush()
+        if inline:
+            parts.pop()
+        now = before
+        return tag
+
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            add(page[at:])
             break
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:].removesuffix("]]>"))
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", start):
+            end = source.find("]]>", start + 9)
+            parts[-1].append(page[start + 9 : end if end >= 0 else len(page)])
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = source.find(">", start)
+            at = end + 1 if end >= 0 else len(page)
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        m = NAME.match(page, start + 1)
+        if not m:  # no tag
+            parts[-1].append("<")
+            at = start + 1
+            continue
+        at = source.tag_end(m.end())
+        if at < 0:  # a tag that the page's end cuts off
+            break
+        attributes = page[m.end() : at - 1]
+        closing, tag = m[0][0] == "/", m[0].lstrip("/").lower()
         if tag == "br":
-            parts.append(" ")
+            parts[-1].append(" ")
             continue
-        if tag in BLOCKS:
+        if tag in BLOCKS and (not closing or open_tags[tag] or tag == "p"):
             flush()
         if closing:
-            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
-            if depth is not None:
-                before = stack[depth][1]
-                if before != now:
-                    flush()
-                del stack[depth:]
-                now = before
+            if open_tags[tag]:
+                while pop() != tag:
+                    pass
             continue
         if tag in BLOCKS and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            now = stack.pop()[1]
+            pop()
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-            now = stack.pop()[1]
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+            pop()
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
-        new = standing(tag, m[3], now)
-        if new != now:
+        new = standing(tag, attributes, now)
+        inline = new != now and tag not in BLOCKS
+        if inline:
+            parts.append([])
+        elif new != now:
             flush()
-        stack.append((tag, now))
+        stack.append((tag, now, inline))
+        open_tags[tag] += 1
         now = new
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end is None and tag in ("script", "style", "xmp", "iframe", "noembed", "noframes"):
-                at = len(page)
-            elif end is not None and tag not in ("title", "textarea"):
-                at = end.start()
+            end = source.raw_end(tag, at)
+            if tag in ("title", "textarea"):  # their text is text, without tags
+                if end >= 0:
+                    add(page[at:end])
+                    at = end
+            else:
+                at = end if end >= 0 else len(page)
+    while stack:
+        pop()
     flush()
     return out
 
@@ -192,7 +281,7 @@ def common(a: list[int], b: list[int]) -> list[int]:
 
 @dataclass
 class Page:
-    key: tuple[str, str, str]
+    key: tuple[str, str]
     row: tuple
     standing: list[int]
     texts: list[str | None]
@@ -208,17 +297,17 @@ class Page:
 
 
 def paired(pages: Iterator[Page]) -> Iterator[tuple[Page, "Page | None"]]:
-    """Each page with its mate, from pages in order of (group, path). Three pages are held at most."""
-    first: Page | None = None  # the group's first page, while nothing else has come
+    """Each page with its mate, from pages in order of (host, path). Three pages are held at most."""
+    first: Page | None = None  # the host's first page, while nothing else has come
     last: Page | None = None
     mate: Page | None = None
     for page in pages:
-        if last is None or page.key[:2] != last.key[:2]:
+        if last is None or page.key[0] != last.key[0]:
             if first is not None:
                 yield first, None
             first, last, mate = page, page, None
             continue
-        if page.key[2] != last.key[2]:
+        if page.key[1] != last.key[1]:
             mate = last
         if first is not None:
             yield first, page if mate is not None else None
@@ -229,13 +318,12 @@ def paired(pages: Iterator[Page]) -> Iterator[tuple[Page, "Page | None"]]:
         yield first, None
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hot: int | None = None) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row ``id_col``, ``url_col``, ``text``, ``n_chars``, ``n_blocks`` and ``n_shared``.
 
     Null or empty html gives an empty text; a null URL counts as an empty one, all on one host. Pages of one
-    path (repeated rows too) pair with the nearest other path, never with each other. Pairs are the same at every
-    size; only where ``hot`` is given is a host with more pages dealt by directory and the first letter after it,
-    and pages pair within that.
+    path (repeated rows too) pair with the nearest other path, never with each other, and pairs are the same at
+    every size and in any layout.
     Rows stay one to one; columns that are not named are not looked at; an empty table gives an empty result.
 
     Scale: pages are parsed where they are read, so that scripts and markup are not shuffled; blocks are
@@ -248,37 +336,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key(url) for url in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.string()) for i in range(3))], names=["url", "host", "part", "path"])
-
-    def key(url: str | None) -> tuple[str, str, str]:
-        host, path = place(url)
-        head, _, tail = path.rpartition("/")
-        return host, f"{head}/{tail[:1]}" if host in large else "", path
+            keys = [place(url) for url in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([k[i] for k in keys], pa.string()) for i in range(2))], names=["url", "host", "path"])
 
-    large: frozenset[str] = frozenset()
     urls = pages.select(F.col(url_col).cast("string"))
-    kinds = "url string, host string, part string, path string"
+    kinds = "url string, host string, path string"
     total = pages.count()
-    if hot is not None:
-        counted = urls.mapInArrow(keyed, kinds).groupBy("host").agg(F.count("*").alias("n"))
-        large = frozenset(r.host for r in counted.where(F.col("n") > max(hot, total // 1000)).collect())
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
-    drawn = sorted(key(r[0]) for r in urls.sample(min(1.0, DRAWN * n / max(total, 1)), seed=1).collect())
+    drawn = sorted(place(r[0]) for r in urls.sample(min(1.0, DRAWN * n / max(total, 1)), seed=1).collect())
     borders = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in keyed(batches):
-            at = [bisect_right(borders, k) for k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
+            at = [bisect_right(borders, k) for k in zip(*(batch.column(i).to_pylist() for i in (1, 2)))]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["at", *batch.schema.names])
 
     # the ends of each range: at most two rows a range on the driver
-    end = F.struct("host", "part", "path", "url")
+    end = F.struct("host", "path", "url")
     ends = sorted(urls.mapInArrow(ranged, f"at int, {kinds}").groupBy("at").agg(F.min(end).alias("low"), F.max(end).alias("high")).collect())
     # (key, URL) of pages that other ranges need, and these ranges
     lent: dict[tuple, list[int]] = {}
     for one, two in zip(ends, ends[1:]):
-        if one.high[:2] == two.low[:2]:
+        if one.high[0] == two.low[0]:
             lent.setdefault(tuple(one.high), []).append(two["at"])
             lent.setdefault(tuple(two.low), []).append(one["at"])
 
@@ -286,7 +365,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in batches:
             rows, source = [], []
             for k, (url, page) in enumerate(zip(batch.column(1), batch.column(2))):
-                own = key(url.as_py())
+                own = place(url.as_py())
                 found = blocks(page.as_py())
                 # blocks that are left out anyway go on as marks only
                 texts = [t if s != LEFT_OUT else None for s, t in found]
@@ -295,19 +374,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 for to in (at, *lent.get((*own, url.as_py()), ())):
                     rows.append((to, to != at, *own, stands, marks, texts))
                     source.append(k)
-            kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string())]
+            kinds = [pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.string())]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             source = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(source), batch.column(1).take(source), *columns], names=["id", "url", "at", "lent", "host", "part", "path", "standing", "marks", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(source), batch.column(1).take(source), *columns], names=["id", "url", "at", "lent", "host", "path", "standing", "marks", "texts"])
 
     slim = pages.select(F.col(id_col), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    parsed = slim.mapInArrow(parse, f"id {id_type}, url string, at int, lent boolean, host string, part string, path string, standing array<byte>, marks array<long>, texts array<string>")
-    ordered = parsed.repartitionById(len(borders) + 1, F.col("at")).drop("at").sortWithinPartitions("host", "part", "path", "url", "id", "marks")
+    parsed = slim.mapInArrow(parse, f"id {id_type}, url string, at int, lent boolean, host string, path string, standing array<byte>, marks array<long>, texts array<string>")
+    ordered = parsed.repartitionById(len(borders) + 1, F.col("at")).drop("at").sortWithinPartitions("host", "path", "url", "id", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[Page]:
             for batch in batches:
-                for r in zip(*(batch.column(k) for k in range(9))):
+                for r in zip(*(batch.column(k) for k in range(8))):
                     ident, url, only_lent, *own, stands, marks, texts = (c.as_py() for c in r)
                     yield Page(tuple(own), (ident, url), stands, texts, marks, only_lent)
 
