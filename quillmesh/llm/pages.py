@@ -43,10 +43,13 @@ FIRST = frozenset("nav navbar menu breadcrumb breadcrumbs ad ads advert cookie c
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 ARTICLE = frozenset("article main".split())
 
+#: A tag without quoted values, and the name of any.
+SIMPLE = re.compile(r"<(/?[a-zA-Z][^\s/>]*)((?:[\s/][^>\"']*)?)>")
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 STOP = re.compile(r">|=\s*([\"'])")
 NAMED = re.compile(r"(?:^|[\s\"'/])(class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[-_]+")
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 
 LEFT_OUT, PLAIN, IN_ARTICLE = 0, 1, 2
 #: Pages in a part of the sorted pages, where there are more than the session's shuffle partitions hold.
@@ -66,12 +69,13 @@ def standing(tag: str, attributes: str, now: int) -> int:
     is left out elsewhere. Ids say nothing, as headings have those of their words."""
     if now == LEFT_OUT or tag in OUTSIDE:
         return LEFT_OUT
+    page = tag in ("html", "body")
+    if "=" not in attributes:
+        return LEFT_OUT if tag == "header" and now != IN_ARTICLE else IN_ARTICLE if tag in ARTICLE else now
     classes: list[str] = []
     roles: list[str] = []
-    if "=" in attributes:
-        for m in NAMED.finditer(attributes):
-            (classes if m[1].lower() == "class" else roles).extend((m[2] or m[3] or m[4] or "").lower().split())
-    page = tag in ("html", "body")
+    for m in NAMED.finditer(attributes):
+        (classes if m[1].lower() == "class" else roles).extend((m[2] or m[3] or m[4] or "").lower().split())
     header = tag == "header" or any(PARTS.split(c)[-1] == "header" for c in classes)
     if not page and (header and now != IN_ARTICLE or not ROLES.isdisjoint(roles) or any(map(other, classes)) and tag != "main"):
         return LEFT_OUT
@@ -82,7 +86,7 @@ class Source:
     """A page's text, with finds that never look twice where there is nothing."""
 
     def __init__(self, page: str):
-        self.page, self.none, self.low = page, {}, None
+        self.page, self.none = page, {}
 
     def find(self, what: str, at: int) -> int:
         if self.none.get(what, len(self.page) + 1) <= at:
@@ -108,15 +112,12 @@ class Source:
 
     def raw_end(self, tag: str, at: int) -> int:
         """Where the end tag of an element with raw text begins, or -1."""
-        if self.low is None:
-            self.low = Source(self.page.translate(LOWERED))
-        close = self.low.find(f"</{tag}", at)
-        while close >= 0 and self.page[close + 2 + len(tag) : close + 3 + len(tag)] not in (">", "/", "", *" \t\n\r\f"):
-            close = self.low.find(f"</{tag}", close + 2)
-        return close
-
-
-LOWERED = {i: i + 32 for i in range(65, 91)}
+        if tag in self.none:
+            return -1
+        m = ENDS[tag].search(self.page, at)
+        if not m:
+            self.none[tag] = at
+        return m.start() if m else -1
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -131,10 +132,11 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     now, at = PLAIN, 0
 
     def flush() -> None:
-        text = " ".join("".join(parts[-1]).split())
-        if text:
-            out.append((now, text))
-        parts[-1].clear()
+        if parts[-1]:
+            text = " ".join("".join(parts[-1]).split())
+            if text:
+                out.append((now, text))
+            parts[-1].clear()
 
     def add(text: str) -> None:
         if text:
@@ -152,34 +154,38 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         return tag
 
     while True:
-        start = source.find("<", at)
+        start = page.find("<", at)
         if start < 0:
             add(page[at:])
             break
-        add(page[at:start])
-        if page.startswith("<!--", start):
+        if start > at:
+            add(page[at:start])
+        if m := SIMPLE.match(page, start):
+            name, attributes = m.groups()
+            at = m.end()
+        elif page.startswith("<!--", start):
             end = source.find("-->", start + 4)
             at = end + 3 if end >= 0 else len(page)
             continue
-        if page.startswith("<![CDATA[", start):
+        elif page.startswith("<![CDATA[", start):
             end = source.find("]]>", start + 9)
             parts[-1].append(page[start + 9 : end if end >= 0 else len(page)])
             at = end + 3 if end >= 0 else len(page)
             continue
-        if page.startswith(("<!", "<?"), start):
+        elif page.startswith(("<!", "<?"), start):
             end = source.find(">", start)
             at = end + 1 if end >= 0 else len(page)
             continue
-        m = NAME.match(page, start + 1)
-        if not m:  # no tag
+        elif m := NAME.match(page, start + 1):
+            at = source.tag_end(m.end())
+            if at < 0:  # a tag that the page's end cuts off
+                break
+            name, attributes = m[0], page[m.end() : at - 1]
+        else:  # no tag
             parts[-1].append("<")
             at = start + 1
             continue
-        at = source.tag_end(m.end())
-        if at < 0:  # a tag that the page's end cuts off
-            break
-        attributes = page[m.end() : at - 1]
-        closing, tag = m[0][0] == "/", m[0].lstrip("/").lower()
+        closing, tag = name[0] == "/", name.lstrip("/").lower()
         if tag == "br":
             parts[-1].append(" ")
             continue
