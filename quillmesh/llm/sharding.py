@@ -1,10 +1,16 @@
 """Sharding by balanced label propagation: linked documents move together under capacity quotas.
 
-Documents with the same link key (by default the same text) are neighbours. Neighbours form a clique, so the
-votes of a document's neighbours are the label counts of its key; propagation therefore runs on the table of
-(key, shard, count) and never on pairs. Each round every unsettled key asks for the shard that most of its
-documents are in, or, where that has no room left, for one that has; a shard accepts the largest first up to
-its quota. What no shard can take whole is cut; documents without neighbours fill what is left of the quotas.
+Documents with the same link key (by default the same text) are neighbours, and so are the two ends of every row
+of a link table. The documents of a key form a node, or several of a shard's size where they are more; any other
+document that the link table names is a node of its own. A node's neighbours are the nodes that share a hub with
+it; a hub is a key or a row of the link table, so links are joined as (node, hub) and never as pairs of a key.
+
+Every document begins with a label by hash. In each round the labels in force are counted anew per hub, and every
+node has the votes of its neighbours and its own documents. A node that has no place yet asks for the shard with most
+votes that has room for all of it, or else for any that has; a placed node asks to move where its neighbours have
+more votes than where it is. A shard accepts the largest first up to its quota. Placing ends when no node fits
+anywhere; moves end when none is gained by, or after ``MOVES`` rounds. What no shard can take whole is cut;
+documents without neighbours fill what is left of the quotas.
 
 Everything is DataFrame operations. Ranks are taken in two levels (counts per bucket, then rows within a
 bucket), so neither a shard, nor a key that holds a third of all rows, meets whole in one task. To the driver
@@ -22,14 +28,17 @@ from .common import Scratch, offsets
 LAW = "rows"
 #: Rows per task of a two-level rank, about.
 BUCKET = 50_000
+#: Rounds of moves after all that fits is placed.
+MOVES = 8
 
 
 def ranked(rows: DataFrame, key: str, n: int, out: str = "rank") -> DataFrame:
-    """A gapless rank from 0 within each ``key`` by (bucket of the row id, row id). ``n``: rows in all."""
+    """A gapless rank from 0 within each ``key`` by (bucket of the row hash, row). ``n``: rows in all. Rows that
+    are equal in all columns may change places."""
     buckets = max(1, -(-n // BUCKET))
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int"))
     before = offsets(rows.groupBy(key, "_b").agg(F.count("*").alias("_n")), key, "_b", "_n", "_before")
-    w = Window.partitionBy(key, "_b").orderBy("rid")
+    w = Window.partitionBy(key, "_b").orderBy("rid", "id", "crc", "size")
     return rows.join(before, [key, "_b"]).withColumn(out, F.col("_before") + F.row_number().over(w) - 1).drop("_b", "_before")
 
 
@@ -38,88 +47,156 @@ def span(value: Column, cuts: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= value))
 
 
-def proposals(votes: DataFrame, room: list[int]) -> DataFrame:
-    """One row per unit: the shard it asks for. ``votes``: unit, n, shard, have (its documents in the shard)."""
+def memberships(members: DataFrame, links: DataFrame | None, shared: bool) -> DataFrame:
+    """``node``, ``hub`` and ``hubs`` (the node's number of them) for hubs of two nodes or more. ``members``: id, key
+    and node of every linked document; ``links``: ``a``, ``b``; ``shared``: whether keys may have several nodes."""
+    parts = []
+    if shared:
+        parts.append(members.where("key IS NOT NULL").select("node", F.xxhash64(F.lit("key"), "key").alias("hub")))
+    if links is not None:
+        hub = F.xxhash64(F.lit("link"), F.least("a", "b"), F.greatest("a", "b"))
+        ends = links.select(hub.alias("hub"), F.explode(F.array("a", "b")).alias("id")).distinct()
+        parts.append(ends.join(members.select("id", "node").distinct(), "id").select("node", "hub"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = rows.distinct()
+    several = rows.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub")
+    rows = rows.join(several, "hub", "left_semi")
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("hubs")), "node")
+
+
+def votes(labels: DataFrame, member: DataFrame | None) -> DataFrame:
+    """Per node ``n``, ``placed`` and ``at``: an array of (shard, ``have``: its own documents there, ``near``: the
+    neighbours' documents there, one for each hub that is shared), of at most as many entries as there are shards.
+
+    ``labels``: node, shard, have, n, placed; ``member``: as of :func:`memberships`, None for no neighbours."""
+    own = labels.select("node", "shard", "have", "n", "placed")
+    if member is None:
+        return own.groupBy("node").agg(F.max("n").alias("n"), F.max("placed").alias("placed"), F.collect_list(F.struct("shard", "have", F.lit(0).cast("long").alias("near"))).alias("at"))
+    counts = member.join(labels.select("node", "shard", "have"), "node").groupBy("hub", "shard").agg(F.sum("have").alias("c"))
+    near = member.join(counts, "hub").groupBy("node", "shard", "hubs").agg(F.sum("c").alias("c"))
+    none = F.lit(None)
+    both = own.withColumns({"c": F.lit(0).cast("long"), "hubs": F.lit(0).cast("long")}).unionByName(near.select("node", "shard", F.lit(0).cast("long").alias("have"), none.cast("long").alias("n"), none.cast("boolean").alias("placed"), "c", "hubs"))
+    each = both.groupBy("node", "shard").agg(F.sum("have").alias("have"), F.max("n").alias("n"), F.max("placed").alias("placed"), (F.sum("c") - F.sum("have") * F.max("hubs")).alias("near"))
+    return each.groupBy("node").agg(F.max("n").alias("n"), F.max("placed").alias("placed"), F.collect_list(F.struct("shard", "have", "near")).alias("at"))
+
+
+def proposals(found: DataFrame, room: list[int], turn: int, moves: bool) -> DataFrame:
+    """One row per node that asks for a shard: node, n, shard and whether it was ``placed``. ``found``: as of
+    :func:`votes`. A placed node asks every other turn only, so that neighbours do not change places for ever."""
     rooms = F.array(*[F.lit(r).cast("long") for r in room])
-    fits = F.col("n") <= F.element_at(rooms, F.col("shard") + 1)
-    best = votes.groupBy("unit", "n").agg(F.max(F.when(fits, F.struct("have", F.xxhash64("unit", "shard").alias("tie"), "shard"))).alias("best"))
-    tries = F.transform(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.when(F.col("n") <= F.element_at(rooms, s + 1), F.struct(F.xxhash64("unit", s).alias("tie"), s.alias("shard"))))
-    want = F.coalesce(F.col("best.shard"), F.array_max(tries)["shard"])
-    return best.select("unit", "n", want.alias("shard")).where("shard IS NOT NULL")
 
+    def fits(shard: Column) -> Column:
+        return F.col("n") <= F.element_at(rooms, shard + 1)
 
-def accepted(asked: DataFrame, room: list[int], units: int) -> DataFrame:
-    """The proposals that the shards have room for, larger units first; unit, n and shard."""
-    buckets = max(1, -(-units // BUCKET))
-    asked = asked.withColumn("sub", -F.floor(F.log2("n")).cast("long") * buckets + F.pmod(F.xxhash64("unit"), F.lit(buckets)))
-    before = offsets(asked.groupBy("shard", "sub").agg(F.sum("n").alias("s")), "shard", "sub", "s", "before")
-    w = Window.partitionBy("shard", "sub").orderBy(F.desc("n"), "unit").rowsBetween(Window.unboundedPreceding, 0)
-    placed = asked.join(before, ["shard", "sub"]).withColumn("upto", F.col("before") + F.sum("n").over(w))
-    return placed.where(F.col("upto") <= F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("shard") + 1)).select("unit", "n", "shard")
+    asked = F.array_max(F.transform("at", lambda v: F.when(fits(v["shard"]), F.struct(v["near"].alias("near"), v["have"].alias("have"), F.xxhash64("node", v["shard"]).alias("tie"), v["shard"].alias("shard")))))
+    tries = F.transform(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.when(fits(s), F.struct(F.xxhash64("node", s).alias("tie"), s.alias("shard"))))
+    first = found.where("NOT placed").select("node", "n", F.coalesce(asked["shard"], F.array_max(tries)["shard"]).alias("shard"), "placed").where("shard IS NOT NULL")
+    if not moves:
+        return first
+    here = F.array_max(F.transform(F.filter("at", lambda v: v["have"] > 0), lambda v: F.struct(v["near"].alias("near"), v["shard"].alias("shard"))))
+    again = found.where(F.col("placed") & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0)).withColumns({"_to": asked, "_at": here})
+    return first.unionByName(again.where("_to.shard <> _at.shard AND _to.near > _at.near").select("node", "n", F.col("_to.shard").alias("shard"), "placed"))
 
 
-def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", link: Column | None = None, rounds: int = 8) -> DataFrame:
+def accepted(asked: DataFrame, room: list[int], nodes: int) -> DataFrame:
+    """The proposals that the shards have room for, larger nodes first."""
+    buckets = max(1, -(-nodes // BUCKET))
+    asked = asked.withColumn("sub", -F.floor(F.log2("n")).cast("long") * buckets + F.pmod(F.xxhash64("node"), F.lit(buckets)))
+    before = offsets(asked.groupBy("shard", "sub").agg(F.sum("n").alias("s")), "shard", "sub", "s", "before")
+    w = Window.partitionBy("shard", "sub").orderBy(F.desc("n"), "node").rowsBetween(Window.unboundedPreceding, 0)
+    placed = asked.join(before, ["shard", "sub"]).withColumn("upto", F.col("before") + F.sum("n").over(w))
+    return placed.where(F.col("upto") <= F.element_at(F.array(*[F.lit(r).cast("long") for r in room]), F.col("shard") + 1)).select("node", "n", "shard", "placed")
+
+
+def propagate(labels: DataFrame, member: DataFrame | None, quota: list[int], scratch: Scratch, moves: int = MOVES) -> tuple[DataFrame, list[int]]:
+    """The labels when no more is gained, and the room that is left. ``labels``: node, shard, have, n, placed; a
+    placed node has one row, and stands in one shard."""
+    labels, path = scratch.keep(labels)
+    nodes = labels.select("node").distinct().count()
+    room, turn, moved, idle = list(quota), 0, 0, 0
+    # a placed node asks every other turn, so that two turns without a taker are the end
+    while nodes and moved < moves and idle < (1 if member is None else 2):
+        asked = proposals(votes(labels, member), room, turn, member is not None)
+        took, took_at = scratch.keep(accepted(asked, room, nodes))
+        new = took.agg(F.count("*"), F.count_if(~F.col("placed"))).first()
+        turn += 1
+        if not new[0]:
+            idle += 1
+            scratch.drop(took_at)
+            continue
+        idle = 0
+        moved += new[1] == 0
+        rest = labels.join(took.select("node"), "node", "left_anti").unionByName(took.select("node", "shard", F.col("n").alias("have"), "n", F.lit(True).alias("placed")))
+        next_labels, next_path = scratch.keep(rest)
+        scratch.drop(path, took_at)
+        labels, path = next_labels, next_path
+        filled = {r.shard: r.s for r in labels.where("placed").groupBy("shard").agg(F.sum("n").alias("s")).collect()}
+        room = [q - filled.get(s, 0) for s, q in enumerate(quota)]
+    return labels, room
+
+
+def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", link: Column | None = None, links: DataFrame | None = None) -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``cut`` for every row.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16, ``text_crc32`` that of its UTF-8 bytes (null: of
     none). Rows with the same ``link`` are neighbours; by default equal texts are, null texts being equal to
-    each other; a null link has no neighbours. Law ``rows``: the shards' counts differ by one at most, for
-    every input. ``slot`` counts from 0 without gaps within a shard. ``cut`` marks documents whose group no
-    shard could take whole: first, a group larger than a shard is cut into pieces of a shard's size.
-    Null ids, repeated rows and ids, and other columns do no harm: every row gets its own slot. An empty
-    table gives an empty result.
+    each other; a null link has no such neighbours. ``links``: a table whose first two columns are ids of rows that are
+    neighbours; nulls, loops, repeats and ids of no row in it do no harm. Law ``rows``: the shards' counts differ by
+    one at most, for every input. ``slot`` counts from 0 without gaps within a shard. ``cut`` marks the
+    documents of nodes that have neighbours in another shard.
+    The result depends on the rows alone, not on their layout. Null ids, repeated rows and ids, and other columns do
+    no harm: every row gets its own slot. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.col(text_col).cast("string")
     link = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")), 256)) if link is None else F.unhex(F.sha2(link.cast("string"), 256))
     slim = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-        link.alias("hub"),
+        link.alias("key"),
     )
-    slim = scratch.table(slim)
+    slim = scratch.table(slim.select(F.xxhash64("id", "crc", "size").alias("rid"), "*"))
     total = slim.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     cap = max(1, total // n_shards)
-    groups = scratch.table(slim.where("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1"))
-    n_units, largest = groups.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    members = slim.join(groups.withColumnRenamed("n", "of"), "hub", "left").withColumn("piece", F.lit(0).cast("long"))
+    groups = scratch.table(slim.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("of")).where("of > 1"))
+    largest = groups.agg(F.coalesce(F.max("of"), F.lit(0))).first()[0]
+    members = slim.join(groups, "key", "left").withColumn("piece", F.lit(0).cast("long"))
     if largest > cap:  # such groups are cut into pieces of a shard's size
-        big = ranked(members.where(F.col("of") > cap), "hub", total).withColumn("piece", F.floor(F.col("rank") / cap)).drop("rank")
+        big = ranked(members.where(F.col("of") > cap), "key", total).withColumn("piece", F.floor(F.col("rank") / cap)).drop("rank")
         members = members.where(F.col("of").isNull() | (F.col("of") <= cap)).unionByName(big)
-    unit = F.when(F.col("of").isNotNull(), F.xxhash64("hub", "piece"))
-    members = scratch.table(members.select("rid", "id", "size", "crc", "of", unit.alias("unit")))
-
-    # label propagation: votes by unit and shard, from a start that spreads all documents evenly
-    start = members.where("unit IS NOT NULL").select("unit", F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard"))
-    votes = start.groupBy("unit", "shard").agg(F.count("*").alias("have"))
-    sums = votes.groupBy("unit").agg(F.sum("have").alias("n"))
-    votes, votes_at = scratch.keep(votes.join(sums, "unit"))
-    room, settled = list(quota), None
-    for _ in range(rounds):
-        took, _ = scratch.keep(accepted(proposals(votes, room), room, n_units))
-        filled = {r.shard: r.s for r in took.groupBy("shard").agg(F.sum("n").alias("s")).collect()}
-        if not filled:
-            break
-        room = [r - filled.get(s, 0) for s, r in enumerate(room)]
-        settled = took if settled is None else settled.unionByName(took)
-        left, left_at = scratch.keep(votes.join(took.select("unit"), "unit", "left_anti"))
-        scratch.drop(votes_at)
-        votes, votes_at = left, left_at
-        if votes.isEmpty():
-            break
-    if settled is None:
-        labelled = members.withColumn("shard", F.lit(None).cast("int"))
-    else:
-        labelled = members.join(settled.select("unit", "shard"), "unit", "left")
-    labelled = scratch.table(labelled.select("rid", "id", "size", "crc", "shard", (F.col("of").isNotNull() & (F.col("shard").isNull() | (F.col("of") > cap))).alias("cut")))
+    key = F.when(F.col("of").isNotNull(), F.col("key"))
+    node = F.when(F.col("of").isNotNull(), F.xxhash64("key", "piece"))
+    if links is not None:
+        links = links.toDF(*("a", "b", *links.columns[2:])).select("a", "b").where("a <> b")
+        ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("tied", F.lit(True))
+        members = members.join(ends, "id", "left")
+        node = F.coalesce(node, F.when(F.col("tied"), F.xxhash64(F.lit("id"), "id", "key")))
+    members = scratch.table(members.select("rid", "id", "size", "crc", key.alias("key"), node.alias("node")))
+    tied = members.where("node IS NOT NULL")
+
+    # every document's first label, by hash; then propagation
+    start = tied.groupBy("node", F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("have"))
+    sums = tied.groupBy("node").agg(F.count("*").alias("n"))
+    member = scratch.table(memberships(tied, links, links is not None or largest > cap)) if links is not None or largest > cap else None
+    labels, room = propagate(start.join(sums, "node").withColumn("placed", F.lit(False)), member, quota, scratch)
+
+    if member is None:
+        settled = labels.where("placed").select("node", "shard", F.lit(False).alias("cut"))
+    else:  # a node without a place stands in no shard
+        last = labels.groupBy("node", F.when(F.col("placed"), F.col("shard")).otherwise(-1).alias("shard")).agg(F.sum("have").alias("have"), F.max("n").alias("n"), F.max("placed").alias("placed"))
+        own = F.array_max(F.transform(F.filter("at", lambda v: v["have"] > 0), lambda v: v["shard"]))
+        away = votes(last, member).where("placed").withColumn("shard", own)
+        settled = away.select("node", "shard", F.exists("at", lambda v: (v["shard"] != F.col("shard")) & (v["near"] > 0)).alias("cut"))
+    columns = ["rid", "id", "size", "crc", "shard", "cut"]
+    placed = tied.join(settled, "node", "left").withColumn("cut", F.coalesce("cut", F.lit(True))).select(columns)
+    free = members.where("node IS NULL").withColumns({"shard": F.lit(None).cast("int"), "cut": F.lit(False)}).select(columns)
+    labelled = scratch.table(placed.unionByName(free))
 
     # the others fill what is left of the quotas, in the order of a rank over all of them
     cuts = [sum(room[: s + 1]) for s in range(n_shards - 1)]
     rest = ranked(labelled.where("shard IS NULL").drop("shard").withColumn("all", F.lit(0)), "all", total)
     rest = rest.withColumn("shard", span(F.col("rank"), cuts)).drop("rank", "all")
-    placed = labelled.where("shard IS NOT NULL").unionByName(rest)
-    placed = ranked(placed, "shard", total, "slot")
+    placed = ranked(labelled.where("shard IS NOT NULL").unionByName(rest), "shard", total, "slot")
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", "cut")
