@@ -1,12 +1,11 @@
 """Sharding by balanced label propagation: linked documents move together under capacity quotas.
 
 Documents with the same link key (by default the same text) are neighbours, and so are the two ends of every row
-of a link table. The documents of a key form a node, or several of a shard's size where they are more; any other
-document that the link table names is a node of its own. A node's neighbours are the nodes that share a hub with
-it; a hub is a key or a row of the link table, so links are joined as (node, hub) and never as pairs of a key.
+of a link table. The documents of a key form a node, or several of a shard's size where they are more, which no shard
+could hold together; any other document that the link table names is a node of its own. Links between nodes are
+joined as (node, link), and never as pairs of a key.
 
-Every document begins with a label by hash. In each round the labels in force are counted anew per hub, and every
-node has the votes of its neighbours and its own documents. A node that has no place yet asks for the shard with most
+Every document begins with a label by hash. In each round the labels in force are counted anew, and every node has the votes of its neighbours and of its own documents. A node that has no place yet asks for the shard with most
 votes that has room for all of it, or else for any that has; a placed node asks to move where its neighbours have
 more votes than where it is. A shard accepts the largest first up to its quota. Placing ends when no node fits
 anywhere; moves end when none is gained by, or after ``MOVES`` rounds. What no shard can take whole is cut;
@@ -47,18 +46,12 @@ def span(value: Column, cuts: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= value))
 
 
-def memberships(members: DataFrame, links: DataFrame | None, shared: bool) -> DataFrame:
-    """``node``, ``hub`` and ``hubs`` (the node's number of them) for hubs of two nodes or more. ``members``: id, key
-    and node of every linked document; ``links``: ``a``, ``b``; ``shared``: whether keys may have several nodes."""
-    parts = []
-    if shared:
-        parts.append(members.where("key IS NOT NULL").select("node", F.xxhash64(F.lit("key"), "key").alias("hub")))
-    if links is not None:
-        hub = F.xxhash64(F.lit("link"), F.least("a", "b"), F.greatest("a", "b"))
-        ends = links.select(hub.alias("hub"), F.explode(F.array("a", "b")).alias("id")).distinct()
-        parts.append(ends.join(members.select("id", "node").distinct(), "id").select("node", "hub"))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    rows = rows.distinct()
+def memberships(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``node``, ``hub`` and ``hubs`` (the node's number of them) for the links between two nodes. ``members``: id
+    and node of every linked document; ``links``: ``a``, ``b``."""
+    hub = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    ends = links.select(hub.alias("hub"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = ends.join(members.select("id", "node").distinct(), "id").select("node", "hub").distinct()
     several = rows.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 1").select("hub")
     rows = rows.join(several, "hub", "left_semi")
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("hubs")), "node")
@@ -130,8 +123,10 @@ def propagate(labels: DataFrame, member: DataFrame | None, quota: list[int], scr
         next_labels, next_path = scratch.keep(rest)
         scratch.drop(path, took_at)
         labels, path = next_labels, next_path
-        filled = {r.shard: r.s for r in labels.where("placed").groupBy("shard").agg(F.sum("n").alias("s")).collect()}
-        room = [q - filled.get(s, 0) for s, q in enumerate(quota)]
+        filled = {(r.placed, r.shard): r.s for r in labels.groupBy("placed", "shard").agg(F.sum("have").alias("s")).collect()}
+        room = [q - filled.get((True, s), 0) for s, q in enumerate(quota)]
+        if member is None and all(placed for placed, _ in filled):
+            break  # all are placed, and without other nodes about nothing is gained by a move
     return labels, room
 
 
@@ -166,20 +161,20 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     if largest > cap:  # such groups are cut into pieces of a shard's size
         big = ranked(members.where(F.col("of") > cap), "key", total).withColumn("piece", F.floor(F.col("rank") / cap)).drop("rank")
         members = members.where(F.col("of").isNull() | (F.col("of") <= cap)).unionByName(big)
-    key = F.when(F.col("of").isNotNull(), F.col("key"))
     node = F.when(F.col("of").isNotNull(), F.xxhash64("key", "piece"))
     if links is not None:
         links = links.toDF(*("a", "b", *links.columns[2:])).select("a", "b").where("a <> b")
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("tied", F.lit(True))
         members = members.join(ends, "id", "left")
         node = F.coalesce(node, F.when(F.col("tied"), F.xxhash64(F.lit("id"), "id", "key")))
-    members = scratch.table(members.select("rid", "id", "size", "crc", key.alias("key"), node.alias("node")))
+    large = F.coalesce(F.col("of") > cap, F.lit(False))
+    members = scratch.table(members.select("rid", "id", "size", "crc", node.alias("node"), large.alias("large")))
     tied = members.where("node IS NOT NULL")
 
     # every document's first label, by hash; then propagation
     start = tied.groupBy("node", F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("have"))
     sums = tied.groupBy("node").agg(F.count("*").alias("n"))
-    member = scratch.table(memberships(tied, links, links is not None or largest > cap)) if links is not None or largest > cap else None
+    member = None if links is None else scratch.table(memberships(tied, links))
     labels, room = propagate(start.join(sums, "node").withColumn("placed", F.lit(False)), member, quota, scratch)
 
     if member is None:
@@ -190,7 +185,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         away = votes(last, member).where("placed").withColumn("shard", own)
         settled = away.select("node", "shard", F.exists("at", lambda v: (v["shard"] != F.col("shard")) & (v["near"] > 0)).alias("cut"))
     columns = ["rid", "id", "size", "crc", "shard", "cut"]
-    placed = tied.join(settled, "node", "left").withColumn("cut", F.coalesce("cut", F.lit(True))).select(columns)
+    placed = tied.join(settled, "node", "left").withColumn("cut", F.coalesce("cut", F.lit(True)) | F.col("large")).select(columns)
     free = members.where("node IS NULL").withColumns({"shard": F.lit(None).cast("int"), "cut": F.lit(False)}).select(columns)
     labelled = scratch.table(placed.unionByName(free))
 

@@ -90,14 +90,14 @@ def test_votes_against_brute_force(spark):
 
 
 def test_memberships_against_brute_force(spark):
-    members = spark.createDataFrame([(1, b"k", 10), (2, b"k", 10), (3, b"k", 11), (4, None, 12), (4, None, 12), (5, b"z", 13), (None, b"z", 14)], "id long, key binary, node long")
-    links = spark.createDataFrame([(1, 4), (4, 1), (3, 9), (3, None), (2, 5)], "a long, b long").where("a <> b")
-    got = sharding.memberships(members, links, True).collect()
+    members = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 12), (4, 12), (5, 13), (None, 14), (6, 10)], "id long, node long")
+    links = spark.createDataFrame([(1, 4), (4, 1), (3, 9), (3, None), (2, 5), (1, 6)], "a long, b long").where("a <> b")
+    got = sharding.memberships(members, links).collect()
     hubs = defaultdict(set)
     for r in got:
         hubs[r.hub].add(r.node)
-    assert sorted(map(sorted, hubs.values())) == [[10, 11], [10, 12], [10, 13], [13, 14]]
-    assert {r.node: r.hubs for r in got} == {10: 3, 11: 1, 12: 1, 13: 2, 14: 1}
+    assert sorted(map(sorted, hubs.values())) == [[10, 12], [10, 13]]
+    assert {r.node: r.hubs for r in got} == {10: 2, 12: 1, 13: 1}
 
 
 def cut_of(edges, shard):
