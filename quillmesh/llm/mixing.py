@@ -1,10 +1,15 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
-Documents are summed to cells (source, language, topic) of token counts. Raking multiplies the cells by
-target over current share, one margin after another, until all three margins hold. A cell's keep
-probability is its fitted over its observed tokens, scaled so that the expected tokens meet the budget;
-where that passes 1, the cell is kept whole and the others take up the rest. Documents are kept where a hash
-of their id, uniform in [0, 1), lies below the probability, so a rerun keeps the same ones.
+Documents are summed to cells (source, language, topic) of token counts. A cell's fitted share is its observed share
+times a factor for each of its values, but never more than the share it has when it is kept whole: its observed
+share over ``rate``. Raking multiplies the factors by target over current share, one margin after another, until all
+three margins hold with that bound (bounded raking); so the margins of what is kept are those asked for, and no
+probability passes 1. A cell's keep probability is its fitted share times ``rate`` over its observed share.
+Documents are kept where a hash of their id, uniform in [0, 1), lies below it, so a rerun keeps the same ones.
+
+A target share that a value cannot have, even kept whole, is lowered to what it can, and the other values of the
+margin take up the rest in proportion. Sweeps end when every margin is within ``CLOSE`` of its goal, or after
+``SWEEPS``; :func:`margins` reports goal and share of each value.
 
 Targets not given are the observed shares raised to ``temper`` and normalised, which lifts rare values and
 lowers the dominant ones. Everything is DataFrame operations on two tables: the documents, which are read
@@ -17,11 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, unused
 
 TEMPER = 0.7
-ROUNDS = 6
-CAP_ROUNDS = 4
+#: Sweeps over the margins at most, sweeps in one plan, and the difference of shares that ends them.
+SWEEPS, AT_ONCE, CLOSE = 16, 8, 1e-12
+#: Rounds that lower unreachable goals, and the factor that values start with that are kept whole to reach theirs.
+LOWERED, WHOLE = 8, 1e6
 RATE = 0.6
 #: Names of missing values.
 NONE = "(none)"
@@ -48,35 +55,55 @@ def topic(text: str | Column) -> Column:
     return kind.when(F.regexp_count(text, F.lit("[0-9]")) * 20 >= n, "figures").otherwise("prose")
 
 
-def shares(cells: DataFrame, margin: str, temper: float) -> DataFrame:
-    """``margin`` and its target share ``goal``: the observed share to the power ``temper``, normalised."""
-    by = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0").withColumn("p", F.pow("t", F.lit(temper)))
-    return by.withColumn("goal", F.col("p") / F.lit(by.agg(F.coalesce(F.sum("p"), F.lit(1.0))).first()[0])).select(margin, "goal")
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], total: int, rounds: int) -> DataFrame:
-    """Adds ``fitted``: the cells' shares of all tokens, raked to the targets of each margin in turn."""
-    out = cells.withColumn("fitted", F.col("tokens") / F.lit(float(total or 1)))
-    for m, goals in targets.items():
-        out = out.join(goals.select(m, F.col("goal").alias(f"goal_{m}")), m, "left")
-    for _ in range(rounds):
-        for m in targets:
-            now = F.sum("fitted").over(Window.partitionBy(m))
-            out = out.withColumn("fitted", F.when(now > 0, F.col("fitted") * F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) / now).otherwise(0.0))
-    return out.drop(*(f"goal_{m}" for m in targets))
-
-
-def calibrate(cells: DataFrame, total: int, rate: float, rounds: int) -> DataFrame:
-    """Adds ``weight`` (fitted over observed) and ``prob``, for expected tokens of ``rate`` of the total."""
-    out = cells.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") * F.lit(float(total)) / F.col("tokens")).otherwise(1.0))
-    scale = float(rate)
-    for _ in range(rounds):
-        full = F.col("weight") * F.lit(scale) >= 1
-        whole, part = out.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("weight") * F.col("tokens")))).first()
-        if not part or rate * total <= (whole or 0):
+def goals_of(cells: DataFrame, margin: str, total: float, rate: float, temper: float, given: DataFrame | None) -> DataFrame:
+    """``margin`` and its target share ``goal``: the one given, else the observed share to the power ``temper``,
+    normalised; no goal above the observed share over ``rate``. Values without tokens have none. ``start`` is the
+    factor that raking begins with."""
+    by = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    most = F.col("t") / F.lit(total * rate)
+    if given is None:
+        out = by.select(margin, most.alias("most"), F.pow("t", F.lit(temper)).alias("goal"))
+    else:
+        out = by.join(given.select(margin, F.col("goal").alias("goal")), margin, "left").select(margin, most.alias("most"), F.coalesce("goal", F.lit(0.0)).alias("goal"))
+    # the scale by which the goals below their bounds and the bounds of the others sum to 1
+    scale = 1.0 / (out.agg(F.sum("goal")).first()[0] or 1.0)
+    for _ in range(LOWERED):
+        full = F.col("goal") * F.lit(scale) >= F.col("most")
+        fixed, free = out.agg(F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("goal")))).first()
+        if not free or (fixed or 0.0) >= 1:
+            break
+        last, scale = scale, (1 - (fixed or 0.0)) / free
+        if scale == last:
+            break
+    asked = F.col("goal") * F.lit(scale)
+    return out.select(margin, F.least(F.col("most"), asked).alias("goal"), F.when(asked >= F.col("most"), WHOLE).otherwise(1.0).alias("start"))
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], total: float, rate: float, scratch: Scratch) -> DataFrame:
+    """Adds ``fitted``: the cells' shares of what is kept, raked to the goals within their bounds."""
+    out = cells.withColumns({"raked": F.col("tokens") / F.lit(total or 1.0), "most": F.col("tokens") / F.lit((total or 1.0) * rate)})
+    for m, table in goals.items():
+        out = out.join(table.select(m, F.coalesce("goal", F.lit(0.0)).alias(f"goal_{m}"), F.col("start").alias("_start")), m, "left")
+        out = out.withColumn("raked", F.col("raked") * F.coalesce("_start", F.lit(1.0))).drop("_start")
+    fitted, path = F.least("raked", "most"), None
+    for done in range(0, SWEEPS, AT_ONCE):
+        for _ in range(AT_ONCE):
+            for m in goals:
+                now = F.sum(fitted).over(Window.partitionBy(m))
+                out = out.withColumn("raked", F.when(now > 0, F.col("raked") * F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) / now).otherwise(0.0))
+        out, new = scratch.keep(out)
+        if path:
+            scratch.drop(path)
+        path = new
+        if done + AT_ONCE < SWEEPS and all(off(out, m) <= CLOSE for m in goals):
             break
-        scale = (rate * total - (whole or 0)) / part
-    return out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
+    return out.select(*cells.columns, fitted.alias("fitted"))
+
+
+def off(raked: DataFrame, m: str) -> float:
+    """The largest difference of a margin's shares from its goals."""
+    by = raked.groupBy(m).agg(F.sum(F.least("raked", "most")).alias("s"), F.first(F.coalesce(F.col(f"goal_{m}"), F.lit(0.0))).alias("g"))
+    return by.agg(F.coalesce(F.max(F.abs(F.col("s") - F.col("g"))), F.lit(0.0))).first()[0]
 
 
 def chance(id_col: str, seed: str = "mix") -> Column:
@@ -90,11 +117,13 @@ def keys(margins: dict[str, Column]) -> dict[str, Column]:
 
 
 def fit_cells(cells: DataFrame, margins: dict[str, Column], targets: dict[str, DataFrame] | None, rate: float, temper: float, scratch: Scratch) -> DataFrame:
-    """Adds ``fitted``, ``weight`` and ``prob`` to the cells (``_<margin>`` for each margin, ``tokens``)."""
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    goals = {f"_{m}": targets[m].select(F.col(m).alias(f"_{m}"), "goal") if targets and m in targets else shares(cells, f"_{m}", temper) for m in margins}
-    fitted = scratch.table(rake(cells, goals, total, ROUNDS))
-    return scratch.table(calibrate(fitted, total, rate, CAP_ROUNDS))
+    """Adds ``fitted``, ``weight`` (fitted over observed share) and ``prob`` to the cells (``_<margin>`` for each
+    margin, ``tokens``). A cell without tokens has the weight 1 and the probability ``rate``."""
+    total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+    goals = {f"_{m}": goals_of(cells, f"_{m}", total or 1.0, rate, temper, targets[m].select(F.col(m).alias(f"_{m}"), "goal") if targets and m in targets else None) for m in margins}
+    weight = F.when(F.col("tokens") > 0, F.col("fitted") * F.lit(total) / F.col("tokens")).otherwise(1.0)
+    out = rake(cells, {m: scratch.table(g) for m, g in goals.items()}, total, rate, scratch).withColumn("weight", weight)
+    return scratch.table(out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(float(rate)))))
 
 
 def standard_margins(text_col: str = "text") -> dict[str, Column]:
@@ -120,38 +149,61 @@ def weigh(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margi
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margins: dict[str, Column] | None = None, targets: dict[str, DataFrame] | None = None, rate: float = RATE, temper: float = TEMPER) -> DataFrame:
-    """The rows of ``docs`` that :func:`weigh` keeps, with the columns of ``docs``."""
+    """The rows of ``docs`` that :func:`weigh` keeps, with the columns of ``docs``, whatever their names.
+
+    Nulls in a margin, null and empty texts, repeated ids and empty tables count as in :func:`weigh`."""
     scratch = Scratch(docs.sparkSession, "mixing")
     margins = margins or standard_margins(text_col)
     named = keys(margins)
     cells = docs.select(*[c.alias(k) for k, c in named.items()], tokens(text_col).alias("_tokens")).groupBy(*named).agg(F.sum("_tokens").alias("tokens"))
-    cells = fit_cells(scratch.table(cells), margins, targets, rate, temper, scratch).select(*named, F.col("prob").alias("_prob"))
-    return docs.withColumns(named).join(cells, list(named)).where(chance(id_col) < F.col("_prob")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cells = fit_cells(scratch.table(cells), margins, targets, rate, temper, scratch)
+    *own, prob = unused(docs.columns, *named, "_prob")
+    cells = cells.select(*[F.col(k).alias(o) for k, o in zip(named, own)], F.col("prob").alias(prob))
+    placed = docs.withColumns({o: c for o, c in zip(own, named.values())}).join(cells, own)
+    return placed.where(chance(id_col) < F.col(prob)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def margins(weighed: DataFrame, names: tuple[str, ...] = ("source", "lang", "topic")) -> DataFrame:
+    """Per value of each margin of what :func:`weigh` returns: ``margin``, ``value``, ``observed`` and ``expected``,
+    its shares of all tokens and of the expected tokens of what is kept."""
+    kept = F.col("tokens") * F.col("prob")
+    whole = weighed.agg(F.sum("tokens").alias("_a"), F.sum(kept).alias("_b"))
+    parts = [weighed.groupBy(F.col(m).alias("value")).agg(F.sum("tokens").alias("a"), F.sum(kept).alias("b")).select(F.lit(m).alias("margin"), "value", "a", "b") for m in names]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # one row of sums, so that the join is no larger than the table
+    a, b = whole.first() or (0, 0)
+    return every.select("margin", "value", (F.col("a") / F.lit(float(a or 1))).alias("observed"), (F.col("b") / F.lit(float(b or 1))).alias("expected"))
 
 
 def oracle(rate: float = RATE, temper: float = TEMPER) -> str:
     """:func:`weigh` with standard margins and targets as DuckDB SQL, over the table ``documents``."""
     margins = ("source", "lang", "topic")
     kinds = " ".join(f"WHEN (length(t) - length(translate(t, '{signs}', ''))) * 20 >= length(t) THEN '{name}'" for name, signs in KINDS)
+    kinds += " WHEN length(regexp_replace(t, '[^0-9]', '', 'g')) * 20 >= length(t) THEN 'figures'"
     steps = [
         "raw AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t FROM documents)",
         "flat AS (SELECT *, trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS f FROM raw)",
         f"slim AS (SELECT doc_id, source, lang, CASE WHEN length(t) = 0 THEN 'empty' {kinds} ELSE 'prose' END AS topic, CASE WHEN f = '' THEN 0 ELSE length(f) - length(replace(f, ' ', '')) + 1 END AS tokens FROM flat)",
-        "cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM slim GROUP BY ALL)",
-        "whole AS (SELECT sum(tokens) AS total FROM cells)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM slim GROUP BY ALL)",
+        "whole AS MATERIALIZED (SELECT sum(tokens) AS total FROM cells)",
     ]
     for m in margins:
-        steps.append(f"by_{m} AS (SELECT {m}, pow(sum(tokens), {temper}) AS p FROM cells GROUP BY ALL HAVING sum(tokens) > 0)")
-        steps.append(f"goal_{m} AS (SELECT {m}, p / (SELECT sum(p) FROM by_{m}) AS g_{m} FROM by_{m})")
-    steps.append("fit0 AS (SELECT cells.*, g_source, g_lang, g_topic, tokens / (SELECT total FROM whole) AS fitted FROM cells " + " ".join(f"LEFT JOIN goal_{m} USING ({m})" for m in margins) + ")")
-    for i in range(ROUNDS * len(margins)):
-        m = margins[i % len(margins)]
-        steps.append(f"fit{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (fitted), CASE WHEN sum(fitted) OVER (PARTITION BY {m}) > 0 THEN fitted * coalesce(g_{m}, 0) / sum(fitted) OVER (PARTITION BY {m}) ELSE 0 END AS fitted FROM fit{i})")
-    steps.append(f"weighed AS (SELECT *, CASE WHEN tokens > 0 THEN fitted * (SELECT total FROM whole) / tokens ELSE 1 END AS w FROM fit{ROUNDS * len(margins)})")
-    steps.append(f"scale0 AS (SELECT {rate}::DOUBLE AS s)")
-    for i in range(CAP_ROUNDS):
-        steps.append(f"sums{i} AS (SELECT coalesce(sum(CASE WHEN w * s >= 1 THEN tokens END), 0) AS whole, sum(CASE WHEN w * s < 1 THEN w * tokens END) AS part, any_value(s) AS s FROM weighed, scale{i})")
-        steps.append(f"scale{i + 1} AS MATERIALIZED (SELECT CASE WHEN coalesce(part, 0) = 0 OR {rate} * total <= sums{i}.whole THEN s ELSE ({rate} * total - sums{i}.whole) / part END AS s FROM sums{i}, whole)")
-    steps.append(f"probs AS (SELECT source, lang, topic, w, least(1.0, w * s) AS p FROM weighed, scale{CAP_ROUNDS})")
+        steps.append(f"by_{m} AS MATERIALIZED (SELECT {m}, sum(tokens) / (total * {rate}) AS most, pow(sum(tokens), {temper}) AS p FROM cells, whole GROUP BY {m}, total HAVING sum(tokens) > 0)")
+        # the scale by which goals below their bounds and the bounds of the others sum to 1
+        steps.append(
+            f"scale_{m}(i, s) AS (SELECT 0, 1 / sum(p) FROM by_{m} UNION ALL SELECT i + 1, CASE WHEN coalesce(free, 0) = 0 OR coalesce(fixed, 0) >= 1 THEN s ELSE (1 - coalesce(fixed, 0)) / free END"
+            f" FROM (SELECT i, s, sum(CASE WHEN p * s >= most THEN most END) AS fixed, sum(CASE WHEN p * s < most THEN p END) AS free FROM scale_{m}, by_{m} GROUP BY i, s) WHERE i < {LOWERED})"
+        )
+        steps.append(f"goal_{m} AS MATERIALIZED (SELECT {m}, least(most, p * s) AS g_{m}, CASE WHEN p * s >= most THEN {WHOLE} ELSE 1.0 END AS b_{m} FROM by_{m}, scale_{m} WHERE i = {LOWERED})")
+    turn = "CASE i % 3 WHEN 0 THEN 's' || source WHEN 1 THEN 'l' || lang ELSE 't' || topic END"
+    goal = "CASE i % 3 WHEN 0 THEN g_source WHEN 1 THEN g_lang ELSE g_topic END"
+    steps.append(
+        "fit AS (SELECT 0 AS i, source, lang, topic, tokens, g_source, g_lang, g_topic, tokens / total * coalesce(b_source, 1) * coalesce(b_lang, 1) * coalesce(b_topic, 1) AS raked, tokens / (total * " + f"{rate}) AS most FROM cells CROSS JOIN whole " + " ".join(f"LEFT JOIN goal_{m} USING ({m})" for m in margins) + " UNION ALL"
+        f" SELECT i + 1, source, lang, topic, tokens, g_source, g_lang, g_topic, CASE WHEN now > 0 THEN raked * coalesce(goal, 0) / now ELSE 0 END, most"
+        f" FROM (SELECT *, {goal} AS goal, sum(least(raked, most)) OVER (PARTITION BY {turn}) AS now FROM fit) WHERE i < {3 * SWEEPS})"
+    )
+    steps.append(f"probs AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(raked, most) * total / tokens ELSE 1 END AS w, least(1.0, w * {rate}) AS p FROM fit, whole WHERE i = {3 * SWEEPS})")
     chance = "('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT / 4294967296.0"
-    return "WITH " + ", ".join(steps) + f" SELECT doc_id, source, lang, topic, tokens, round(w, 6) AS weight, round(p, 6) AS prob, {chance} < p AS kept FROM slim JOIN probs USING (source, lang, topic)"
+    return "WITH RECURSIVE " + ", ".join(steps) + f" SELECT doc_id, source, lang, topic, tokens, round(w, 6) AS weight, round(p, 6) AS prob, {chance} < p AS kept FROM slim JOIN probs USING (source, lang, topic)"
