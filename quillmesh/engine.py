@@ -86,34 +86,29 @@ class Engine:
 
 
 class Collection:
-    """One session's citations. Adds of unknown records are refused, and exporting clears the collection."""
+    """One session's citations, held by key in the order of their first add. Adds of unknown records are refused, and
+    exporting clears the collection. ``operators.collection`` has the same over logs of many sessions."""
 
     def __init__(self, engine: Engine):
-        self.engine, self.events, self.seq = engine, [], 0
-
-    def _log(self) -> DataFrame:
-        schema = "session_id long, seq long, action string, citation_key string, bibtex string"
-        return self.engine.publications.sparkSession.createDataFrame(self.events, schema)
-
-    def _record(self, action: str, key: str | None = None, text: str | None = None) -> None:
-        self.seq += 1
-        self.events.append((1, self.seq, action, key, text))
+        self.engine, self.held = engine, {}
 
     def entries(self) -> DataFrame:
         """The entries held, with their ``position``."""
-        return log.current(self._log())
+        rows = [(k + 1, key, text) for k, (key, text) in enumerate(self.held.items())]
+        return self.engine.publications.sparkSession.createDataFrame(rows, "position int, citation_key string, bibtex string")
 
     def add(self, key: str, citation_key: str) -> str:
-        """Add a record under a citation key; the message says whether it replaced an entry, and the size."""
+        """Add a record under a citation key; the message says whether it replaced an entry, and the size. It costs
+        one lookup, whatever the collection holds."""
         text = self.engine.entry(key, citation_key)
-        held = {r.citation_key for r in self.entries().select("citation_key").collect()}
         if text is None:
-            return REFUSED.format(why=f"no record {key!r}", n=len(held))
-        self._record("add", citation_key, text)
-        return ADDED.format(key=citation_key, note=REPLACED if citation_key in held else "", n=len(held | {citation_key}))
+            return REFUSED.format(why=f"no record {key!r}", n=len(self.held))
+        note = REPLACED if citation_key in self.held else ""
+        self.held[citation_key] = text
+        return ADDED.format(key=citation_key, note=note, n=len(self.held))
 
     def export(self, path: str) -> str:
         """Write the entries to a ``.bib`` file and clear the collection; a failed write leaves it."""
         to, n = log.export(self.entries(), path)
-        self._record("export")
+        self.held = {}
         return EXPORTED.format(n=n, path=to)

@@ -15,8 +15,8 @@ def words(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space, of any kind, and without separators of information at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def blank(text: Column) -> Column:

@@ -21,7 +21,7 @@ def best_ratios(pubs: DataFrame, name: str, threshold: float) -> DataFrame:
     if threshold > 0:
         low = F.filter(low, lambda a: may_reach(query, a, threshold))
         pubs = pubs.where(F.size(low) > 0)
-    return pubs.withColumn("best_ratio", best_ratio_udf(query)(low)).where(F.col("best_ratio") >= threshold)
+    return pubs.withColumn("best_ratio", best_ratio_udf(query, threshold)(low)).where(F.col("best_ratio") >= threshold)
 
 
 def author_publications(pubs: DataFrame, name: str, threshold: float, max_results: int = 20, compat: bool = False) -> DataFrame:
@@ -47,19 +47,30 @@ def types(found: DataFrame) -> DataFrame:
 
 
 def author_answer(found: DataFrame, name: str) -> DataFrame:
-    """One row: ``name``, ``publication_count``, the ordered ``publications`` and ``stats``."""
-    columns = [c for c in found.columns if c != "position"]
-    pubs = found.agg(F.count("*").alias("publication_count"), F.array_sort(F.collect_list(F.struct("position", *columns))).alias("publications"))
-
-    def ranked(column: str) -> DataFrame:
-        rows = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "first_position", F.col(column).alias("value"), F.col("n").alias("count"))))
-        return frequencies(found, column, column).agg(F.slice(F.transform(rows, lambda r: F.struct(r["value"].alias("value"), r["count"].alias("count"))), 1, TOP).alias(column))
+    """One row: ``name``, ``publication_count``, the ordered ``publications`` and ``stats``.
 
-    kinds = types(found).agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("types"))
-    one = pubs.withColumn("_k", F.lit(0))
-    for part in (ranked("venue"), ranked("year"), kinds):  # one row each
-        one = one.join(part.withColumn("_k", F.lit(0)), "_k")
-    return one.select(F.lit(name).alias("name"), "publication_count", "publications", F.struct(F.col("venue").alias("venues"), F.col("year").alias("years"), "types").alias("stats"))
+    The limited list is evaluated once: each of its rows gives one row for itself and one for each statistic."""
+    columns = [c for c in found.columns if c != "position"]
+    none, kind = F.lit(None), F.col("kind")
+
+    def part(of: str, text: Column, number: Column, own: Column) -> Column:
+        return F.struct(F.lit(of).alias("kind"), text.cast("string").alias("text"), number.cast("int").alias("number"), own.alias("pub"))
+
+    pub = F.struct("position", *columns)
+    four = F.array(part("publication", none, F.col("position"), pub), part("venue", F.col("venue"), none, F.when(F.lit(False), pub)), part("year", none, F.col("year"), F.when(F.lit(False), pub)), part("type", F.coalesce("type", F.lit("")), none, F.when(F.lit(False), pub)))
+    rows = found.select("position", F.explode(four).alias("x")).select("position", "x.*")
+    counts = rows.groupBy("kind", "text", "number").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.first("pub").alias("pub"))
+
+    def top_of(of: str, value: str) -> Column:
+        each = F.sort_array(F.collect_list(F.when(kind == of, F.struct((-F.col("n")).alias("k"), "first", F.col(value).alias("value"), F.col("n").alias("count")))))
+        return F.slice(F.transform(each, lambda r: F.struct(r["value"].alias("value"), r["count"].alias("count"))), 1, TOP)
+
+    return counts.agg(
+        F.lit(name).alias("name"),
+        F.count_if(kind == "publication").alias("publication_count"),
+        F.array_sort(F.collect_list("pub")).alias("publications"),
+        F.struct(top_of("venue", "text").alias("venues"), top_of("year", "number").alias("years"), F.map_from_entries(F.collect_list(F.when(kind == "type", F.struct("text", "n")))).alias("types")).alias("stats"),
+    )
 
 
 def all_authors_top_venues(pubs: DataFrame, k: int = TOP) -> DataFrame:

@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import strip
+
 ERROR = "% Error"
 
 
 def epochs(log: DataFrame) -> DataFrame:
     """The adds with their ``epoch``, the number of exports before them in the session. Adds of blank entries
-    and of error texts are left out."""
+    and of error texts, whatever white space is about them, are left out."""
     before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     exports = F.coalesce(F.sum((F.col("action") == "export").cast("long")).over(before), F.lit(0))
-    good = F.col("bibtex").isNull() | ((F.trim("bibtex") != "") & ~F.startswith("bibtex", F.lit(ERROR)))
+    text = strip(F.col("bibtex"))
+    good = text.isNull() | ((text != "") & ~F.startswith(text, F.lit(ERROR)))
     return log.withColumn("epoch", exports).where((F.col("action") == "add") & good)
 
 

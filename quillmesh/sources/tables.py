@@ -23,7 +23,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The publication view of a data folder: one per document, with the parts of its order as authors.
+    """The publication view of a data folder: one per document, its title the whole first line of the text, with the
+    parts of its order as authors.
 
     The order's lines are joined to the documents first, so that only lines in use are grouped."""
     docs = stored(spark, sf_dir, "documents")
@@ -34,8 +35,8 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = named.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(slots, lambda s: s["p_name"]).alias("authors"))
     years = stored(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("_year"))
     key = F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string"))
-    # titles are cut before the joins, so that texts are not shuffled
-    slim = docs.select("doc_id", key.alias("rec_key"), F.trim(F.substring(F.split("text", "\n", 2)[0], 1, 48)).alias("title"), F.col("source").alias("venue"), F.col("lang").alias("type"))
+    # titles are taken before the joins, so that texts are not shuffled
+    slim = docs.select("doc_id", key.alias("rec_key"), F.trim(F.substring_index("text", "\n", 1)).alias("title"), F.col("source").alias("venue"), F.col("lang").alias("type"))
     rows = slim.join(authors, "doc_id", "left").join(years, "doc_id", "left")
     rows = rows.withColumns(
         {

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,29 +12,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.collection import ERROR
 
 OUT = "session_id long, seq long, action string, citation_key string, overwrote boolean, size long, accepted boolean"
-STATE = "entries string"
+STATE = "held array<string>"
 
 
 def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One micro-batch of a session: adds change its entries, an export of a collection that is not empty clears
-    them. The state holds the keys and entries since the last export."""
-    entries: dict[str, str] = json.loads(state.get[0]) if state.exists else {}
+    them. The state holds the citation keys since the last export; the entries themselves are in the log."""
+    held: set[str | None] = set(state.get[0]) if state.exists else set()
     rows = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
     out = []
     for r in rows.itertuples(index=False):
         overwrote, accepted = False, True
         if r.action == "export":
-            accepted, size = bool(entries), len(entries)
-            entries = {}
+            accepted, size = bool(held), len(held)
+            held = set()
         else:
             text = r.bibtex
             accepted = text is None or bool(text.strip()) and not text.strip().startswith(ERROR)
             if accepted:
-                overwrote = r.citation_key in entries
-                entries[r.citation_key] = text
-            size = len(entries)
+                overwrote = r.citation_key in held
+                held.add(r.citation_key)
+            size = len(held)
         out.append((key[0], r.seq, r.action, r.citation_key, overwrote, size, accepted))
-    state.update((json.dumps(entries),))
+    state.update((list(held),))
     yield pd.DataFrame(out, columns=["session_id", "seq", "action", "citation_key", "overwrote", "size", "accepted"])
 
 

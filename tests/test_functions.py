@@ -85,3 +85,15 @@ def test_whole_numbers():
     for bad in (-1, 2.5, "x", None, True):
         with pytest.raises((ValueError, TypeError)):
             whole_number("n", bad)
+
+
+def test_matched_equals_its_definition():
+    """The ratio where it reaches the least, 0 elsewhere; also for texts whose popular characters are left out."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(1)
+    for n in range(600):
+        a = "".join(rng.choice("abcd e") for _ in range(rng.randint(0, 60 if n % 3 else 400)))
+        b = "".join(rng.choice([c, c, c, "x", ""]) for c in a) if n % 2 else "".join(rng.choice("abcd ef") for _ in range(rng.randint(0, 500 if n % 5 == 0 else 50)))
+        want, least = SequenceMatcher(None, a, b).ratio(), rng.choice([0.0, 0.3, 0.5, 0.8])
+        assert similarity.matched(a, b, least) == (want if want >= least else 0.0)
