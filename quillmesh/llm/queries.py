@@ -22,7 +22,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4, groups=6)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -24,14 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 from .components import components
 
 SEED = 42
 CHUNK = 1 << 15
+#: Words in a shingle, bits that linked fingerprints may differ in, and axes of the grid, where nothing else is asked for.
+SHINGLE, DISTANCE, GROUPS = 5, 6, 9
+#: Cells of up to so many fingerprints are compared together.
+SMALL = 32
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text: A-Z lower-cased, words split at ASCII white space, a bit is set
     where over half of the shingles' hashes have it. No words (null, empty, blank): zero."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -49,16 +53,18 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: str | None = None) -> DataFrame:
+    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row, and the column ``carry``."""
+    more = [carry] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=[id_col, "fp", *more])
 
-    slim = docs.select(id_col, F.col(text_col).cast("string"))
-    return slim.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    slim = docs.select(id_col, F.col(text_col).cast("string"), *more)
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *more)]
+    return slim.mapInArrow(run, ", ".join([kinds[0], "fp long", *kinds[1:]]))
 
 
 def axes(groups: int) -> list[int]:
@@ -106,27 +112,30 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]
     return found
 
 
-def cell_links(keys: np.ndarray, fps: np.ndarray, distance: int, small: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(keys: np.ndarray, fps: np.ndarray, distance: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of all cells; equal neighbours in ``keys`` (sorted runs) are one cell."""
     edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     length = np.diff(edge)
-    run = np.repeat(length, length)
-    codes, out = unary(fps), []
+    # for each row of a small cell the rows of its cell after it
+    after = np.where(np.repeat(length, length) <= small, np.repeat(edge[1:], length) - 1 - np.arange(len(keys)), 0)
+    codes, out, i = unary(fps), [(fps[:0], fps[:0])], np.flatnonzero(after)
     for k in range(1, small):
-        i = np.flatnonzero((run[:-k] <= small) & (keys[:-k] == keys[k:])) if len(keys) > k else np.empty(0, np.int64)
-        i = i[np.bitwise_count(codes[i] ^ codes[i + k]) <= distance]
-        i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= distance]
-        out.append((fps[i], fps[i + k]))
+        i = i[after[i] >= k]
+        if not len(i):
+            break
+        near = i[np.bitwise_count(codes[i] ^ codes[i + k]) <= distance]
+        near = near[np.bitwise_count(fps[near] ^ fps[near + k]) <= distance]
+        out.append((fps[near], fps[near + k]))
     for j in np.flatnonzero(length > small):
         out.extend(forest(fps[edge[j] : edge[j + 1]], distance))
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def links(fps: DataFrame, distance: int = 4, groups: int = 6, block: int = 20_000) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block: int = 20_000) -> DataFrame:
     """Links ``a``, ``b`` that span the components of the distinct fingerprints in ``fp``.
 
-    ``groups``: axes of the grid, over ``distance``. More axes make more but smaller cells: 6 suits up to
-    about 100 million distinct fingerprints, 7 or 8 more."""
+    ``groups``: axes of the grid, over ``distance``. More axes make more but smaller cells: for a distance of 4, 6
+    suits up to about 100 million distinct fingerprints, 7 or 8 more."""
     if groups <= distance:
         raise ValueError("the grid needs more axes than the distance")
     masks = [signed(sum(c)) for c in combinations(axes(groups), groups - distance)]
@@ -159,8 +168,8 @@ def links(fps: DataFrame, distance: int = 4, groups: int = 6, block: int = 20_00
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, groups: int = 6, block: int = 20_000) -> DataFrame:
-    """``id_col``, ``fp`` and ``component_id`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, block: int = 20_000, carry: str | None = None) -> DataFrame:
+    """``id_col``, ``fp`` and ``component_id`` for every row of ``docs``, and the column ``carry``.
 
     Fingerprints within ``distance`` bits are linked; ``component_id`` is the smallest id reachable, itself
     included. Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated
@@ -171,25 +180,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cost one row; everything after moves 16-byte rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    found = scratch.table(fingerprints(docs, id_col, text_col, shingle))
+    found = scratch.table(fingerprints(docs, id_col, text_col, shingle, carry))
     first = scratch.table(found.groupBy("fp").agg(F.min(id_col).alias("first")))
     labels = components(scratch.table(links(first, distance, groups, block)), scratch)
     named = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "label").select("fp", "component_id")
-    return found.join(named, "fp").select(id_col, "fp", "component_id")
+    return found.join(named, "fp").select(id_col, "fp", "component_id", *([carry] if carry else []))
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate group, with the columns of ``docs``.
 
-    The row with the smallest id of a group stays; where several rows have that id, one of them. Rows with a
-    null id cannot be told apart by it: they all stay, and stand for no group."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    kept = Scratch(docs.sparkSession, "simhash").table(groups.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")))
-    # the same plan at every size: documents are dealt by id once, against a table of ids and counts
-    named = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["_kept"])
-    out = named.where(kept["_rows"] == 1).select(docs["*"])
-    if not kept.where("_rows > 1").isEmpty():
-        out = out.unionByName(named.where(kept["_rows"] > 1).select(docs["*"]).dropDuplicates([id_col]))
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    The row with the smallest id of a group stays; where several rows have that id, one of them: the one whose text has
+    the smallest hash, and any one of equal rows. Rows with a null id cannot be told apart by it: they all stay, and
+    stand for no group. Null and empty texts are a group like any other. Columns of any name come along, and an empty
+    table gives an empty result.
+
+    Scale: ids and hashes of the rows that go are joined to the documents, so that these are shuffled only where the
+    planner finds that many go."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    sign, gone_id, gone_sign = unused(docs.columns, "_sign", "_gone", "_text")
+    text = F.col(text_col).cast("string")
+    signed_docs = docs.withColumn(sign, F.xxhash64(text))
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("sign"))
+    groups = near_duplicates(slim, "id", "text", carry="sign", **options).where("id IS NOT NULL")
+    rows = scratch.table(groups.groupBy("id", "sign").agg(F.count("*").alias("n"), F.min("component_id").alias("of")))
+    lead = rows.where("id = of").groupBy("id").agg(F.min("sign").alias("kept"))
+    gone = rows.join(lead, "id", "left").where("kept IS NULL OR sign <> kept")
+    gone = scratch.table(gone.select(F.col("id").alias(gone_id), F.col("sign").alias(gone_sign)))
+    again = scratch.table(rows.where("n > 1 AND id = of").select(F.col("id").alias(gone_id), F.col("sign").alias(gone_sign)))
+    on = (F.col(id_col) == F.col(gone_id)) & (F.col(sign) == F.col(gone_sign))
+    out = signed_docs.join(gone, on, "left_anti")
+    if not again.isEmpty():
+        once = out.join(again, on, "left_semi").dropDuplicates([id_col, sign])
+        out = out.join(again, on, "left_anti").unionByName(once)
+    return out.drop(sign)

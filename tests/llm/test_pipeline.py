@@ -26,7 +26,7 @@ def test_stages_against_their_parts(spark, tmp_path):
                 changed = False
                 for i in before:
                     for j in before:
-                        if label[j] > label[i] and (prints[i] ^ prints[j]).bit_count() <= 4:
+                        if label[j] > label[i] and (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE:
                             label[j], changed = label[i], True
                 if not changed:
                     break

@@ -14,7 +14,7 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(rows):
+def brute_components(rows, distance=4):
     """(id, fp) pairs to {index: smallest id reachable}."""
     label = list(range(len(rows)))
 
@@ -25,7 +25,7 @@ def brute_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= distance:
                 label[root(i)] = root(j)
     ids = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -36,7 +36,7 @@ def brute_components(rows):
 
 def test_fingerprint_equals_its_definition():
     for text in (None, "", " \t\n", "One", "a b c", "A b\x0bc  d", "é É ÀB c d e", "a b c d " * 500, "x" * 50_000 + " y z w v"):
-        assert simhash.fingerprint(text) == brute_fp(text)
+        assert simhash.fingerprint(text, 4) == brute_fp(text)
 
 
 def test_embedding_bounds_the_distance():
@@ -80,7 +80,7 @@ def test_whole_operator_against_brute_force(spark):
     rows = [(5, base), (4, base), (9, base.replace("beta3", "BETA3", 1)), (7, base + " tail"), (None, base), (None, "only null ids here at all"), (1, None), (2, ""), (3, "  \n"), (8, "One Two"), (8, "One Two"), (11, "one  two")]
     rows += [(100 + i, " ".join(words[(i * k + k * k) % 10] for k in range(20))) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(1))
-    got = sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=str)
+    got = sorted((tuple(r) for r in simhash.near_duplicates(docs, shingle=4, distance=4, groups=6).collect()), key=str)
     prints = [(i, brute_fp(t)) for i, t in rows]
     want = sorted(((i, simhash.signed(f), c) for (i, f), c in zip(prints, brute_components(prints))), key=str)
     assert got == want
@@ -98,3 +98,55 @@ def test_distinct_keeps_one_of_each_group(spark):
     assert kept.columns == docs.columns
     got = [(r.doc_id, r._rows) for r in kept.collect()]
     assert sorted(x for x in got if x[0] != 2 and x[0]) == [(5, "d"), (7, "f")] and (None, "e") in got and len([x for x in got if x[0] == 2]) == 1
+
+
+def test_defaults_lose_no_component(spark):
+    """The wider distance over nine axes, with cells of every size."""
+    from quillmesh.llm.common import Scratch
+    from quillmesh.llm.components import components
+
+    fps = sorted(set(near_prints(700, 8)))
+    want = brute_components([(f, f) for f in fps], simhash.DISTANCE)
+    table = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    got = {r.node: r.label for r in components(simhash.links(table), Scratch(spark, "t")).collect()}
+    label = [got.get(simhash.signed(f), simhash.signed(f)) for f in fps]
+    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
+def test_cells_of_every_size():
+    """Cells compared together and cells searched one by one give the same components."""
+    keys = np.sort(np.concatenate([np.full(n, n) for n in (1, 2, 3, 31, 32, 33, 90)]))
+    fps = np.array(near_prints(len(keys), 6), np.uint64)
+
+    def parts(small):
+        label = {}
+        links = list(zip(*(x.tolist() for x in simhash.cell_links(keys, fps, 6, small))))
+        for key in set(keys.tolist()):
+            own = {f: f for f in fps[keys == key].tolist()}
+            for _ in own:
+                for a, b in links:
+                    if a in own and b in own:
+                        own[a] = own[b] = min(own[a], own[b])
+            label[key] = own
+        return label
+
+    assert parts(1) == parts(32) == parts(1000)
+
+
+def test_distinct_by_rows_and_clashing_names(spark):
+    """Several texts under one id: each goes or stays by its own group."""
+    base, other = " ".join(f"w{i}" for i in range(200)), " ".join(f"v{i}" for i in range(200))
+    rows = [(1, base, "a", "s"), (5, other, "b", "t"), (5, base, "c", "u"), (7, base, "d", "v"), (5, other, "b", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _SIGN string")
+    kept = simhash.distinct(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[1]]
+    assert simhash.distinct(docs.where("false")).count() == 0
+
+
+def test_query(spark):
+    from quillmesh.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    prints = [(i, brute_fp(t)) for i, t in rows]
+    want = sorted((i, f"{f:016x}", c) for (i, f), c in zip(prints, brute_components(prints)))
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, "/root/testdata/sf0.001").collect()) == want
