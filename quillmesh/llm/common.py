@@ -83,14 +83,15 @@ def offsets(counted: DataFrame, key: str, sub: str, size: str, out: str) -> Data
     return counted.select(key, sub, F.coalesce(F.sum(size).over(w), F.lit(0)).cast("long").alias(out))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """A bounded sample of labelled texts on the driver, and the number of allowed labels per class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, per_class: int, longest: int, id_col: str = "doc_id", text_col: str = "text", more: Column | None = None) -> tuple[list[tuple], dict[int, int]]:
+    """A bounded sample of labelled texts on the driver, as (text, label) or, with the column ``more``, (text, label,
+    more); and the number of allowed labels per class.
 
     The ids are drawn from the label table alone, ``per_class`` of each class by a hash order, so that the
     list of ids is bounded and the texts need no shuffle. Texts over ``longest`` characters are left out of
     the sample (of training only), so the sample holds ``2 * per_class * longest`` characters at most.
     Null labels count as none. Ids that are labelled twice with different classes are left out. Of several
-    texts under one id the first in the order of texts counts.
+    rows under one id the first in the order of texts counts.
     """
     given = labels.where(allowed & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     each = given.groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other").drop("other")
@@ -100,6 +101,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, allowed:
         return [], counts
     wanted = docs.sparkSession.createDataFrame(picks, each.schema)
     text = F.col(text_col).cast("string")
-    found = docs.where(F.length(text) <= longest).select(F.col(id_col), text.alias("_text")).where("_text IS NOT NULL").join(F.broadcast(wanted), id_col)
-    found = found.groupBy(id_col).agg(F.min("_text").alias("_text"), F.first("label").alias("label")).orderBy(F.xxhash64(id_col), id_col)
-    return [(r._text, r.label) for r in found.select("_text", "label").collect()], counts
+    row = F.struct(text.alias("text"), (F.lit(None).cast("long") if more is None else more).alias("more"))
+    found = docs.where(F.length(text) <= longest).select(F.col(id_col), row.alias("_row")).join(F.broadcast(wanted), id_col)
+    found = found.groupBy(id_col).agg(F.min("_row").alias("_row"), F.first("label").alias("label")).orderBy(F.xxhash64(id_col), id_col)
+    rows = found.select("_row.text", "label", "_row.more").collect()
+    return [(r.text, r.label, r.more)[: 2 + (more is not None)] for r in rows], counts

@@ -107,17 +107,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 3) -> Model:
-    """A model of labelled texts; without texts of both classes it gives every text the share of good labels."""
+def train(sample: list[tuple], counts: dict[int, int], seed: int = 3) -> Model:
+    """A model of labelled texts, as (text, label) or (text, label, length column); without texts of both classes it
+    gives every text the share of good labels."""
+    sample = [(t, y, more[0] if more else len(t)) for t, y, *more in sample]
     model = Model()
     good, bad = counts.get(1, 0), counts.get(0, 0)
     model.base = float(np.log((good + 1) / (bad + 1)))
-    if len({y for _, y in sample}) < 2:
+    if len({y for _, y, _ in sample}) < 2:
         return model
-    y = np.array([k for _, k in sample], float)
-    stats = np.array([np.append(features(t)[2], np.log1p(len(t))) for t, _ in sample])
-    model.edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    rows = [model.row(t, len(t)) for t, _ in sample]
+    y = np.array([k for _, k, _ in sample], float)
+    cuts = np.linspace(0, 1, BINS + 1)[1:-1]
+    model.edges[:-1] = np.quantile([features(t)[2] for t, _, _ in sample], cuts, axis=0).T
+    known = [np.log1p(max(0, n)) for _, _, n in sample if n is not None]
+    if known:
+        model.edges[-1] = np.quantile(known, cuts)
+    rows = [model.row(t, n) for t, _, n in sample]
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, good / max(1, y.sum()), bad / max(1, (1 - y).sum()))
     weight *= len(y) / weight.sum()
@@ -146,13 +151,19 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 3)
             db = error.sum()
             gb += db**2
             model.base -= RATE * db / np.sqrt(gb)
+    # factors of features that the sample never had say nothing
+    model.v[gv[:, 0] <= 1e-6] = 0
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST, length_col: str | None = "n_chars") -> Model:
     """A model of the labelled rows that ``allowed`` (a condition on the label table) lets through, from a
-    sample bounded by ``per_class`` and ``longest``."""
-    return train(*labelled_sample(docs, labels, label_col, allowed, per_class, longest, id_col, text_col))
+    sample bounded by ``per_class`` and ``longest``. ``length_col`` as in :func:`score`."""
+    return train(*labelled_sample(docs, labels, label_col, allowed, per_class, longest, id_col, text_col, length_of(length_col)))
+
+
+def length_of(length_col: str | None) -> Column:
+    return F.lit(None).cast("long") if length_col is None else F.col(length_col).cast("long")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -167,6 +178,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = [shared.value.score(t.as_py(), n.as_py()) for t, n in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=[id_col, "score"])
 
-    length = F.lit(None).cast("long") if length_col is None else F.col(length_col).cast("long")
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"), length.alias("_length"))
+    slim = docs.select(F.col(id_col), F.col(text_col).cast("string"), length_of(length_col).alias("_length"))
     return slim.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")

@@ -56,3 +56,23 @@ def test_held_out_accuracy_and_edges(spark):
     assert q.score(docs.where("false"), model).count() == 0
     blind = q.learn(docs, labels.where("false"), fold("doc_id", 3) != 1)
     assert len({r.score for r in q.score(docs, blind).collect()}) == 1
+
+
+def test_lengths_come_from_the_same_column(spark):
+    """A length column that is not the text's length, and nulls in it, mean the same in training and scoring."""
+    rows = [(i, "ka lo mi " * (1 + i % 5), None if i % 2 else 1000 + i % 7) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    model = q.learn(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in q.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 0) for i in range(400))
+    assert not model.v[(model.v == 0).all(1)].any() and (model.v == 0).all(1).any()
+
+
+def test_query(spark):
+    from quillmesh.llm import queries
+
+    rows = queries.op7_quality(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
