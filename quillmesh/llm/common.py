@@ -32,19 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Intermediate tables in the shared folder. A written table cuts the lineage, is computed once,
-    and survives the loss of executors. ``drop`` deletes those that nothing reads any more."""
+    and survives the loss of executors. ``drop`` and ``release`` delete those that nothing reads any more; what a
+    returned frame still reads stays until its owner deletes the folder ``top``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.top = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Write ``df`` once and return (the table read back, its path)."""
         self.n += 1
         path = f"{self.top}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((found, path))
+        return found, path
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the table read back."""
@@ -56,6 +60,11 @@ class Scratch:
         for path in paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.held = [(df, path) for df, path in self.held if path not in paths]
+
+    def release(self, *needed: DataFrame) -> None:
+        """Delete all tables but those needed."""
+        self.drop(*(path for df, path in self.held if not any(df is n for n in needed)))
 
 
 def fold(key: str | Column, n: int) -> Column:

@@ -473,6 +473,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for k, index in enumerate(blocks(benchmark, item_col, item_text, most)):
         if k and k % PER_PASS == 0:
             docs = scratch.table(docs)
+            scratch.release(docs)  # what it was made from
         shared = docs.sparkSession.sparkContext.broadcast(index)
         docs = docs.where(~leaked(shared)(F.col(text_col).cast("string")))
     return docs

@@ -116,14 +116,17 @@ def keys(margins: dict[str, Column]) -> dict[str, Column]:
     return {f"_{m}": F.coalesce(c.cast("string"), F.lit(NONE)) for m, c in margins.items()}
 
 
-def fit_cells(cells: DataFrame, margins: dict[str, Column], targets: dict[str, DataFrame] | None, rate: float, temper: float, scratch: Scratch) -> DataFrame:
+def fit_cells(cells: DataFrame, margins: dict[str, Column], targets: dict[str, DataFrame] | None, rate: float, temper: float, scratch: Scratch, *needed: DataFrame) -> DataFrame:
     """Adds ``fitted``, ``weight`` (fitted over observed share) and ``prob`` to the cells (``_<margin>`` for each
-    margin, ``tokens``). A cell without tokens has the weight 1 and the probability ``rate``."""
+    margin, ``tokens``). A cell without tokens has the weight 1 and the probability ``rate``. Of
+    the scratch tables those ``needed`` stay."""
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     goals = {f"_{m}": goals_of(cells, f"_{m}", total or 1.0, rate, temper, targets[m].select(F.col(m).alias(f"_{m}"), "goal") if targets and m in targets else None) for m in margins}
     weight = F.when(F.col("tokens") > 0, F.col("fitted") * F.lit(total) / F.col("tokens")).otherwise(1.0)
     out = rake(cells, {m: scratch.table(g) for m, g in goals.items()}, total, rate, scratch).withColumn("weight", weight)
-    return scratch.table(out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(float(rate)))))
+    found = scratch.table(out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(float(rate)))))
+    scratch.release(found, *needed)
+    return found
 
 
 def standard_margins(text_col: str = "text") -> dict[str, Column]:
@@ -143,7 +146,7 @@ def weigh(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margi
     margins = margins or standard_margins(text_col)
     slim = scratch.table(docs.select(F.col(id_col).alias("_id"), tokens(text_col).alias("_tokens"), *[c.alias(k) for k, c in keys(margins).items()]))
     cells = slim.groupBy(*(f"_{m}" for m in margins)).agg(F.sum("_tokens").alias("tokens"))
-    cells = fit_cells(scratch.table(cells), margins, targets, rate, temper, scratch).drop("tokens", "fitted")
+    cells = fit_cells(scratch.table(cells), margins, targets, rate, temper, scratch, slim).drop("tokens", "fitted")
     found = slim.join(cells, [f"_{m}" for m in margins])
     return found.select(F.col("_id").alias(id_col), *[F.col(f"_{m}").alias(m) for m in margins], F.col("_tokens").alias("tokens"), "weight", "prob", (chance("_id") < F.col("prob")).alias("kept"))
 

@@ -188,6 +188,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     placed = tied.join(settled, "node", "left").withColumn("cut", F.coalesce("cut", F.lit(True)) | F.col("large")).select(columns)
     free = members.where("node IS NULL").withColumns({"shard": F.lit(None).cast("int"), "cut": F.lit(False)}).select(columns)
     labelled = scratch.table(placed.unionByName(free))
+    scratch.release(labelled)
 
     # the others fill what is left of the quotas, in the order of a rank over all of them
     cuts = [sum(room[: s + 1]) for s in range(n_shards - 1)]

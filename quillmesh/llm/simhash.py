@@ -182,7 +182,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "simhash")
     found = scratch.table(fingerprints(docs, id_col, text_col, shingle, carry))
     first = scratch.table(found.groupBy("fp").agg(F.min(id_col).alias("first")))
-    labels = components(scratch.table(links(first, distance, groups, block)), scratch)
+    linked, linked_at = scratch.keep(links(first, distance, groups, block))
+    labels = components(linked, scratch)
+    scratch.drop(linked_at)
     named = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(lowest, "label").select("fp", "component_id")

@@ -1,3 +1,7 @@
+import os
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from quillmesh.llm import decontamination, mixing, simhash, toxicity
 from quillmesh.llm.common import fold, table
@@ -44,3 +48,21 @@ def test_stages_against_their_parts(spark, tmp_path):
         assert name == "sharding" or after.columns == columns
         at = after
     assert p.run(spark, SF).count() == at.count()
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [x for folder in os.listdir(top) if folder.startswith("pipeline-") for x in os.listdir(f"{top}/{folder}")]
+
+
+def test_stages_with_nulls_repeats_and_clashing_names(spark):
+    """Every stage on odd rows and on none: nothing fails, nothing but its decision drops a row."""
+    prose = {i: " ".join(f"w{i}x{k}" for k in range(60)) for i in range(6)}
+    odd = [(1, prose[1], "en", "a", 1), (1, prose[1], "en", "a", 1), (None, prose[2], None, None, None), (2, None, "en", "a", 0), (3, "", None, "b", 0), (4, "  ", "en", None, 2), (5, prose[3] + " long" * 50_000, "en", "a", 9)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("_score", "_prob", "_SIGN", "_source", "shard", "_gone")})
+    want = {"toxicity": 7, "near_dedup": 4, "decontamination": 7}
+    for name, stage in p.STAGES:
+        got = stage(spark, docs, SF)
+        rows = got.collect()
+        if name == "sharding":
+            assert len(rows) == 7
+        else:
+            assert got.columns == docs.columns and len(rows) == want.get(name, len(rows))
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
