@@ -125,6 +125,9 @@ def count_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_fields(docs: DataFrame, fields: list[str], id_col: str = "doc_id", sep: str = "\n", rule: str = "majority", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """As :func:`count_lines` for several columns, joined by ``sep`` in the order given and encoded as one
-    text; ``section_tokens`` has a place for each field. A null field is empty."""
+    text; ``section_tokens`` has a place for each field.
+
+    A null field is empty, and empty fields have no tokens but the separator after them; rows stay one to one, repeats
+    too; columns that are not named are not looked at; an empty table gives an empty result."""
     slim = docs.select(F.col(id_col), *[F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(fields)])
     return run_over(slim, id_col, docs.schema[id_col].dataType.simpleString(), True, sep, rule, vocabulary, pattern)

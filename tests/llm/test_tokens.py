@@ -68,3 +68,18 @@ def test_operators_and_edges(spark):
     assert both[1].section_tokens == [2.0, 3.0] and both[None].section_tokens == [2.0, 0.0]
     with pytest.raises(ValueError):
         k.count_lines(docs, rule="none")
+
+
+def test_query(spark):
+    from quillmesh.llm import queries
+
+    with open(k.VOCABULARY, "rb") as f:
+        own = k.Encoder(f.read())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.op8_tokens(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        lines = text.split("\n")
+        assert r.n_tokens == len(own.encoding.encode_ordinary(text)) == sum(r.section_tokens)
+        assert r.n_sections == len(r.section_tokens) == (len(lines) - (lines[-1] == "") if text else 0)
