@@ -144,12 +144,12 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.col(text_col).cast("string")
-    link = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("n")), 256)) if link is None else F.unhex(F.sha2(link.cast("string"), 256))
+    key = F.coalesce(F.concat(F.lit("t"), text), F.lit("n")) if link is None else link.cast("string")
     slim = docs.select(
         F.col(id_col).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
-        link.alias("key"),
+        F.unhex(F.sha2(key, 256)).alias("key"),
     )
     slim = scratch.table(slim.select(F.xxhash64("id", "crc", "size").alias("rid"), "*"))
     total = slim.count()
@@ -157,7 +157,11 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     cap = max(1, total // n_shards)
     groups = scratch.table(slim.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("of")).where("of > 1"))
     largest = groups.agg(F.coalesce(F.max("of"), F.lit(0))).first()[0]
-    members = slim.join(groups, "key", "left").withColumn("piece", F.lit(0).cast("long"))
+    keyed, bare = (slim, None) if link is None else (slim.where("key IS NOT NULL"), slim.where("key IS NULL"))
+    members = keyed.join(groups, "key", "left")
+    if bare is not None:  # rows without a key do not meet under the null key
+        members = members.unionByName(bare.withColumn("of", F.lit(None).cast("long")))
+    members = members.withColumn("piece", F.lit(0).cast("long"))
     if largest > cap:  # such groups are cut into pieces of a shard's size
         big = ranked(members.where(F.col("of") > cap), "key", total).withColumn("piece", F.floor(F.col("rank") / cap)).drop("rank")
         members = members.where(F.col("of").isNull() | (F.col("of") <= cap)).unionByName(big)
