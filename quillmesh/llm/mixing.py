@@ -26,7 +26,7 @@ from .common import Scratch, unused
 
 TEMPER = 0.7
 #: Sweeps over the margins at most, sweeps in one plan, and the difference of shares that ends them.
-SWEEPS, AT_ONCE, CLOSE = 16, 8, 1e-12
+SWEEPS, AT_ONCE, CLOSE = 24, 8, 1e-12
 #: Rounds that lower unreachable goals, and the factor that values start with that are kept whole to reach theirs.
 LOWERED, WHOLE = 8, 1e6
 RATE = 0.6
