@@ -17,7 +17,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,8 +42,6 @@ PER_CLASS, LONGEST = 4000, 50_000
 
 WORD = re.compile(r"[^\W_]+")
 STEM, WHOLE = 1, 2
-#: Bits of the hash under which features are first counted.
-HASHED = 24
 #: Lengths of stems that are looked at.
 STEMS = range(3, 10)
 
@@ -163,27 +160,19 @@ def learn_lexicon(sample: list[tuple[str, int]], least: float = 22.0, lift: floa
         words = set(WORD.findall(text.lower()))
         return words, Counter(w[:k] for w in words for k in STEMS if len(w) > k)
 
-    # first a byte for each hash: what is too rare there is too rare, and needs no entry of its own below
-    rough, common = bytearray(1 << HASHED), bytearray(1 << HASHED)
-    mask = (1 << HASHED) - 1
-    for text, y in sample:
-        words, starts = marks(text)
-        table = rough if y else common
-        for feature in chain(words, (s + "*" for s in starts)) if y else words:
-            if table[h := hash(feature) & mask] < 255:
-                table[h] += 1
     seen: Counter = Counter()
     for text, y in sample:
         if y:
             words, starts = marks(text)
-            seen.update(w for w in words if rough[hash(w) & mask] >= 4)
-            seen.update(s + "*" * min(2, times) for s, times in starts.items() if rough[hash(s + "*") & mask] >= 4)
+            seen.update(words)
+            seen.update(s + "*" * min(2, times) for s, times in starts.items())
     # what has two stars has one as well
     for feature in [f for f in seen if f.endswith("**")]:
         seen[feature[:-1]] += seen[feature]
     seen = Counter({f: k for f, k in seen.items() if k >= 4})
     other: Counter = Counter()
-    times_clean: Counter = Counter()
+    once: set[int] = set()
+    ordinary: set[str] = set()
     for text, y in sample:
         if not y:
             words, starts = marks(text)
@@ -193,8 +182,11 @@ def learn_lexicon(sample: list[tuple[str, int]], least: float = 22.0, lift: floa
                     other[s + "*"] += 1
                 if times > 1 and s + "**" in seen:
                     other[s + "**"] += 1
-            times_clean.update(w for w in words if common[hash(w) & mask] >= 2)
-    ordinary = {w for w, k in times_clean.items() if k > 1}
+            for w in words:  # in two clean texts or more; a clash of hashes does no harm
+                if (h := hash(w)) in once:
+                    ordinary.add(w)
+                else:
+                    once.add(h)
     found = []
     for feature, toxic in seen.items():
         clean = other[feature]
