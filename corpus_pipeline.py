@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import decontamination, mixing, sharding, simhash, toxicity
-from quillmesh.llm.common import Scratch, fold, table
+from quillmesh.llm.common import Scratch, fold, table, tidy
+
+#: Rounds of moves in sharding; most of what is gained is gained in the first.
+MOVES = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are scored like texts without hits; repeated rows stay or go together; columns of any name
     come along; an empty table gives an empty one, and without labels a fixed lexicon decides."""
+    tidy(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return toxicity.reject(docs, model)
 
@@ -26,6 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Five-word shingles, 6 of 64 bits. Null, empty and blank texts are one group; of rows that are equal in id and text
     one stays; rows without an id all stay; columns of any name come along; an empty table gives an empty one."""
+    tidy(spark)
     return simhash.distinct(docs)
 
 
@@ -46,8 +51,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's shard and slot, one row each: null ids and texts and repeated rows too."""
-    return sharding.shard(docs, 40)
+    """Every row's shard and slot, one row each: null ids and texts and repeated rows too.
+
+    No two ids have equal texts after near_dedup, so documents are linked by the long lines that they still share."""
+    scratch = Scratch(spark, "lines")
+    links = scratch.table(sharding.shared_lines(docs, scratch))
+    found = sharding.shard(docs, 40, links=links, moves=MOVES)
+    scratch.release()
+    tidy(spark)
+    return found
 
 
 STAGES = [

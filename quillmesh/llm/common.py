@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage. Spark deletes the shuffles and broadcasts of frames that are gone only then, and
+    the plans of many small jobs would else fill the driver's heap before what follows needs memory beside it."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables in the shared folder. A written table cuts the lineage, is computed once,
     and survives the loss of executors. ``drop`` and ``release`` delete those that nothing reads any more; what a

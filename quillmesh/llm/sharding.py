@@ -5,10 +5,12 @@ of a link table. The documents of a key form a node, or several of a shard's siz
 could hold together; any other document that the link table names is a node of its own. Links between nodes are
 joined as (node, link), and never as pairs of a key.
 
-Every document begins with a label by hash. In each round the labels in force are counted anew, and every node has the votes of its neighbours and of its own documents. A node that has no place yet asks for the shard with most
-votes that has room for all of it, or else for any that has; a placed node asks to move where its neighbours have
-more votes than where it is. A shard accepts the largest first up to its quota. Placing ends when no node fits
-anywhere; moves end when none is gained by, or after ``MOVES`` rounds. What no shard can take whole is cut;
+Every document begins with a label by hash: that of its own row or, where the link table names it, of the smallest id
+among it and those that it is linked to, so that few rounds are needed. In each round the labels in force are
+counted anew, and every node has the votes of its neighbours and of its own documents. A node that has no place yet
+asks for the shard with most votes that has room for all of it, or else for any that has; a placed node asks to move
+where its neighbours have more votes than where it is. A shard accepts the largest first up to its quota. Placing ends when no node fits
+anywhere; moves end when none is gained by, or after ``moves`` rounds. What no shard can take whole is cut;
 documents without neighbours fill what is left of the quotas.
 
 Everything is DataFrame operations. Ranks are taken in two levels (counts per bucket, then rows within a
@@ -22,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, offsets
+from .common import Scratch, offsets, tidy
 
 LAW = "rows"
 #: Rows per task of a two-level rank, about.
 BUCKET = 50_000
 #: Rounds of moves after all that fits is placed.
 MOVES = 8
+#: Characters of a line that links its documents, at least, and documents below each in the tree that links them.
+LINE, FAN = 64, 64
 
 
 def ranked(rows: DataFrame, key: str, n: int, out: str = "rank") -> DataFrame:
@@ -46,6 +50,27 @@ def span(value: Column, cuts: list[int]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= value))
 
 
+def shared_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", least: int = LINE, fan: int = FAN) -> DataFrame:
+    """A link table ``a``, ``b`` for :func:`shard`: documents that have a line of ``least`` characters or more in common.
+
+    Lines end at a newline and count without white space at their ends, wherever they stand and however often. The
+    documents of a line are linked by a tree in which each has at most ``fan`` below it, so that all of them are
+    connected and a line that any share of the documents has makes neither pairs nor a hub. Null ids and texts have no
+    links; rows with equal ids are one document. Other columns are not looked at; an empty table gives an empty one."""
+    buckets = max(1, -(-docs.count() // BUCKET))
+    each = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col).cast("string"), "\n")).alias("line"))
+    each = each.select("id", F.btrim("line", F.lit(" \t\r\f\v")).alias("line")).where((F.length("line") >= least) & F.col("id").isNotNull())
+    rows = scratch.table(each.select(F.xxhash64("line").alias("line"), "id", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("sub")).distinct())
+    w = Window.partitionBy("line")
+    counted = rows.groupBy("line", "sub").agg(F.count("*").alias("n")).withColumn("of", F.sum("n").over(w)).where("of > 1")
+    place = F.row_number().over(Window.partitionBy("line", "sub").orderBy("id")) - 1
+    tree = rows.join(offsets(counted, "line", "sub", "n", "before"), ["line", "sub"])
+    tree = scratch.table(tree.select("line", "id", (F.col("before") + place).alias("rank")))
+    above = tree.select("line", F.col("rank").alias("up"), F.col("id").alias("b"))
+    below = tree.where("rank > 0").select("line", F.floor((F.col("rank") - 1) / fan).alias("up"), F.col("id").alias("a"))
+    return below.join(above, ["line", "up"]).select("a", "b").distinct()
+
+
 def memberships(members: DataFrame, links: DataFrame) -> DataFrame:
     """``node``, ``hub`` and ``hubs`` (the node's number of them) for the links between two nodes. ``members``: id
     and node of every linked document; ``links``: ``a``, ``b``."""
@@ -66,9 +91,9 @@ def votes(labels: DataFrame, member: DataFrame | None) -> DataFrame:
     if member is None:
         return own.groupBy("node").agg(F.max("n").alias("n"), F.max("placed").alias("placed"), F.collect_list(F.struct("shard", "have", F.lit(0).cast("long").alias("near"))).alias("at"))
     counts = member.join(labels.select("node", "shard", "have"), "node").groupBy("hub", "shard").agg(F.sum("have").alias("c"))
-    near = member.join(counts, "hub").groupBy("node", "shard", "hubs").agg(F.sum("c").alias("c"))
     none = F.lit(None)
-    both = own.withColumns({"c": F.lit(0).cast("long"), "hubs": F.lit(0).cast("long")}).unionByName(near.select("node", "shard", F.lit(0).cast("long").alias("have"), none.cast("long").alias("n"), none.cast("boolean").alias("placed"), "c", "hubs"))
+    near = member.join(counts, "hub").select("node", "shard", F.lit(0).cast("long").alias("have"), none.cast("long").alias("n"), none.cast("boolean").alias("placed"), "c", "hubs")
+    both = own.withColumns({"c": F.lit(0).cast("long"), "hubs": F.lit(0).cast("long")}).unionByName(near)
     each = both.groupBy("node", "shard").agg(F.sum("have").alias("have"), F.max("n").alias("n"), F.max("placed").alias("placed"), (F.sum("c") - F.sum("have") * F.max("hubs")).alias("near"))
     return each.groupBy("node").agg(F.max("n").alias("n"), F.max("placed").alias("placed"), F.collect_list(F.struct("shard", "have", "near")).alias("at"))
 
@@ -109,8 +134,9 @@ def propagate(labels: DataFrame, member: DataFrame | None, quota: list[int], scr
     room, turn, moved, idle = list(quota), 0, 0, 0
     # a placed node asks every other turn, so that two turns without a taker are the end
     while nodes and moved < moves and idle < (1 if member is None else 2):
-        asked = proposals(votes(labels, member), room, turn, member is not None)
+        asked, asked_at = scratch.keep(proposals(votes(labels, member), room, turn, member is not None))
         took, took_at = scratch.keep(accepted(asked, room, nodes))
+        scratch.drop(asked_at)
         new = took.agg(F.count("*"), F.count_if(~F.col("placed"))).first()
         turn += 1
         if not new[0]:
@@ -123,6 +149,7 @@ def propagate(labels: DataFrame, member: DataFrame | None, quota: list[int], scr
         next_labels, next_path = scratch.keep(rest)
         scratch.drop(path, took_at)
         labels, path = next_labels, next_path
+        tidy(scratch.spark)
         filled = {(r.placed, r.shard): r.s for r in labels.groupBy("placed", "shard").agg(F.sum("have").alias("s")).collect()}
         room = [q - filled.get((True, s), 0) for s, q in enumerate(quota)]
         if member is None and all(placed for placed, _ in filled):
@@ -130,7 +157,7 @@ def propagate(labels: DataFrame, member: DataFrame | None, quota: list[int], scr
     return labels, room
 
 
-def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", link: Column | None = None, links: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", link: Column | None = None, links: DataFrame | None = None, moves: int = MOVES) -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``cut`` for every row.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16, ``text_crc32`` that of its UTF-8 bytes (null: of
@@ -166,20 +193,22 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         big = ranked(members.where(F.col("of") > cap), "key", total).withColumn("piece", F.floor(F.col("rank") / cap)).drop("rank")
         members = members.where(F.col("of").isNull() | (F.col("of") <= cap)).unionByName(big)
     node = F.when(F.col("of").isNotNull(), F.xxhash64("key", "piece"))
+    first = F.col("rid")
     if links is not None:
         links = links.toDF(*("a", "b", *links.columns[2:])).select("a", "b").where("a <> b")
-        ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("tied", F.lit(True))
-        members = members.join(ends, "id", "left")
-        node = F.coalesce(node, F.when(F.col("tied"), F.xxhash64(F.lit("id"), "id", "key")))
+        both = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+        members = members.join(links.select(F.inline(both)).groupBy("id").agg(F.min("other").alias("other")), "id", "left")
+        node = F.coalesce(node, F.when(F.col("other").isNotNull(), F.xxhash64(F.lit("id"), "id", "key")))
+        first = F.when(F.col("other").isNotNull(), F.xxhash64(F.least("id", "other"))).otherwise(first)
     large = F.coalesce(F.col("of") > cap, F.lit(False))
-    members = scratch.table(members.select("rid", "id", "size", "crc", node.alias("node"), large.alias("large")))
+    members = scratch.table(members.select("rid", "id", "size", "crc", node.alias("node"), large.alias("large"), F.pmod(F.xxhash64(first), F.lit(n_shards)).cast("int").alias("first")))
     tied = members.where("node IS NOT NULL")
 
-    # every document's first label, by hash; then propagation
-    start = tied.groupBy("node", F.pmod(F.xxhash64("rid"), F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("have"))
+    # every document's first label; then propagation
+    start = tied.groupBy("node", F.col("first").alias("shard")).agg(F.count("*").alias("have"))
     sums = tied.groupBy("node").agg(F.count("*").alias("n"))
     member = None if links is None else scratch.table(memberships(tied, links))
-    labels, room = propagate(start.join(sums, "node").withColumn("placed", F.lit(False)), member, quota, scratch)
+    labels, room = propagate(start.join(sums, "node").withColumn("placed", F.lit(False)), member, quota, scratch, moves)
 
     if member is None:
         settled = labels.where("placed").select("node", "shard", F.lit(False).alias("cut"))

@@ -66,3 +66,21 @@ def test_stages_with_nulls_repeats_and_clashing_names(spark):
         else:
             assert got.columns == docs.columns and len(rows) == want.get(name, len(rows))
         assert stage(spark, docs.where("false"), SF).count() == 0, name
+
+
+def test_sharding_brings_related_documents_together(spark):
+    """What near_dedup leaves has no equal texts; those that share a long line go to one shard, with room for them."""
+    def line(*key):
+        return " ".join(f"w{'x'.join(map(str, key))}x{k}" for k in range(30))
+
+    rows = [(i, "\n".join([line("own", i, 0), line("group", i // 5), line("own", i, 1)])) for i in range(100)]
+    rows += [(1000 + i, line("free", i)) for i in range(700)] + [(5000, rows[0][1]), (5001, rows[7][1])]
+    docs = p.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    there = set(os.listdir(top))
+    got = p.to_shards(spark, docs, SF).collect()
+    shard = {r.doc_id: r.shard for r in got}
+    assert sorted(shard) == sorted(i for i, _ in rows if i < 5000) and len(got) == len(shard)
+    assert [{shard[i] for i in range(g * 5, g * 5 + 5)} for g in range(20)] == [{shard[g * 5]} for g in range(20)]
+    assert not any(r.cut for r in got)
+    assert not [x for folder in set(os.listdir(top)) - there if folder.startswith("lines-") for x in os.listdir(f"{top}/{folder}")]

@@ -134,6 +134,40 @@ def test_links_and_equal_texts_together(spark):
     assert not any(r.cut for r in got) and shard[0] == shard[5] and shard[10] == shard[100]
 
 
+def test_shared_lines_against_brute_force(spark, tmp_path, monkeypatch):
+    """The documents of every line are connected, by as many links as a tree has and no crowded document."""
+    from quillmesh.llm.common import Scratch
+
+    monkeypatch.setattr(sharding, "BUCKET", 40)
+    rng = random.Random(8)
+    lines = [f"line {k} " + "x" * rng.choice([1, 4, 5, 40]) for k in range(30)]
+    rows = [(i, "\n".join(f" {x}\t\r" for x in ["hot" * 9, *rng.sample(lines, rng.randint(0, 2))][i % 3 == 0 :] + ["", "short"])) for i in range(200)]
+    rows += [(None, "hot" * 9), (900, None), (901, ""), (5, lines[3]), (5, lines[3] + "\n" + lines[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS line", "2 AS id", "3 AS n")
+    want = defaultdict(set)
+    for i, text in rows:
+        for x in (text or "").split("\n"):
+            if len(x.strip()) >= 12 and i is not None:
+                want[x.strip()].add(i)
+    want = [x for x in want.values() if len(x) > 1]
+    got = [tuple(r) for r in sharding.shared_lines(docs, Scratch(spark, "test"), least=12, fan=4).collect()]
+    assert len(got) == len(set(got)) <= sum(len(x) - 1 for x in want) and all(a != b for a, b in got)
+    pairs = {frozenset(x) for x in got}
+    assert all(any(p <= x for x in want) for p in pairs)
+    for ids in want:  # connected by links within the line
+        reached, queue = set(), [min(ids)]
+        while queue:
+            at = queue.pop()
+            reached.add(at)
+            queue += [j for j in ids - reached if frozenset((at, j)) in pairs]
+        assert reached == ids
+    below = Counter(b for _, b in got)
+    assert max(below.values()) <= 4 * max(Counter(i for x in want for i in x).values())
+    again = sharding.shared_lines(docs.repartition(7), Scratch(spark, "test"), least=12, fan=4).collect()
+    assert sorted(got) == sorted(map(tuple, again))
+    assert sharding.shared_lines(docs.where("false"), Scratch(spark, "test")).count() == 0
+
+
 def test_link_by_another_column(spark):
     docs = spark.createDataFrame([(i, f"t{i}", None if i % 2 else i // 8) for i in range(120)], "doc_id long, text string, work long")
     got = sharding.shard(docs, 3, link=F.col("work")).collect()
