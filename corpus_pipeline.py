@@ -47,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source or language is a value of its own; texts without words weigh nothing and are kept by the rate; rows
     with equal ids stay or go together; columns of any name come along; an empty table gives an empty one."""
+    tidy(spark)
     return mixing.sample(docs)
 
 
@@ -54,6 +55,7 @@ def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's shard and slot, one row each: null ids and texts and repeated rows too.
 
     No two ids have equal texts after near_dedup, so documents are linked by the long lines that they still share."""
+    tidy(spark)
     scratch = Scratch(spark, "lines")
     links = scratch.table(sharding.shared_lines(docs, scratch))
     found = sharding.shard(docs, 40, links=links, moves=MOVES)

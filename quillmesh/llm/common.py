@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +35,25 @@ def tidy(spark: SparkSession) -> None:
     """Collect the driver's garbage. Spark deletes the shuffles and broadcasts of frames that are gone only then, and
     the plans of many small jobs would else fill the driver's heap before what follows needs memory beside it."""
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession, command: str = "systemTrimNativeHeap") -> bool:
+    """Give memory that the driver's JVM has freed outside its heap back to the system; whether it could.
+
+    Spark starts a thread for every exchange, and the C library keeps what each of them, the compiler and the
+    collector have freed: over the stages of a pipeline some hundred MB. Not every JVM has the command."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    given = new_array(jvm.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), command
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # by the public interface, as the server's own class is closed to reflection
+    invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(server, given)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 class Scratch:

@@ -13,7 +13,9 @@ margin take up the rest in proportion. Sweeps end when every margin is within ``
 
 Targets not given are the observed shares raised to ``temper`` and normalised, which lifts rare values and
 lowers the dominant ones. Everything is DataFrame operations on two tables: the documents, which are read
-twice and never shuffled whole, and the cells, which are as many as there are combinations of values.
+twice and never shuffled whole, and the cells, which are as many as there are combinations of values. Up to ``FEW``
+cells are one partition, whose sums by a margin need no exchange: dealt out, the sweeps are some hundred small jobs, whose
+plans, stages and threads take far more of the driver's memory than the cells. More cells are dealt by each margin.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import Scratch, unused
 TEMPER = 0.7
 #: Sweeps over the margins at most, sweeps in one plan, and the difference of shares that ends them.
 SWEEPS, AT_ONCE, CLOSE = 24, 8, 1e-12
+#: Cells that are raked in one partition, at most.
+FEW = 50_000
 #: Rounds that lower unreachable goals, and the factor that values start with that are kept whole to reach theirs.
 LOWERED, WHOLE = 8, 1e6
 RATE = 0.6
@@ -79,7 +83,12 @@ def goals_of(cells: DataFrame, margin: str, total: float, rate: float, temper: f
     return out.select(margin, F.least(F.col("most"), asked).alias("goal"), F.when(asked >= F.col("most"), WHOLE).otherwise(1.0).alias("start"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], total: float, rate: float, scratch: Scratch) -> DataFrame:
+def together(cells: DataFrame, few: bool) -> DataFrame:
+    """The cells as one partition where they are few."""
+    return cells.coalesce(1) if few else cells
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], total: float, rate: float, scratch: Scratch, few: bool) -> DataFrame:
     """Adds ``fitted``: the cells' shares of what is kept, raked to the goals within their bounds."""
     out = cells.withColumns({"raked": F.col("tokens") / F.lit(total or 1.0), "most": F.col("tokens") / F.lit((total or 1.0) * rate)})
     for m, table in goals.items():
@@ -87,6 +96,7 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], total: float, rate: floa
         out = out.withColumn("raked", F.col("raked") * F.coalesce("_start", F.lit(1.0))).drop("_start")
     fitted, path = F.least("raked", "most"), None
     for done in range(0, SWEEPS, AT_ONCE):
+        out = together(out, few)
         for _ in range(AT_ONCE):
             for m in goals:
                 now = F.sum(fitted).over(Window.partitionBy(m))
@@ -95,7 +105,7 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], total: float, rate: floa
         if path:
             scratch.drop(path)
         path = new
-        if done + AT_ONCE < SWEEPS and all(off(out, m) <= CLOSE for m in goals):
+        if done + AT_ONCE < SWEEPS and all(off(together(out, few), m) <= CLOSE for m in goals):
             break
     return out.select(*cells.columns, fitted.alias("fitted"))
 
@@ -120,10 +130,12 @@ def fit_cells(cells: DataFrame, margins: dict[str, Column], targets: dict[str, D
     """Adds ``fitted``, ``weight`` (fitted over observed share) and ``prob`` to the cells (``_<margin>`` for each
     margin, ``tokens``). A cell without tokens has the weight 1 and the probability ``rate``. Of
     the scratch tables those ``needed`` stay."""
+    few = cells.count() <= FEW
+    cells = together(cells, few)
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     goals = {f"_{m}": goals_of(cells, f"_{m}", total or 1.0, rate, temper, targets[m].select(F.col(m).alias(f"_{m}"), "goal") if targets and m in targets else None) for m in margins}
     weight = F.when(F.col("tokens") > 0, F.col("fitted") * F.lit(total) / F.col("tokens")).otherwise(1.0)
-    out = rake(cells, {m: scratch.table(g) for m, g in goals.items()}, total, rate, scratch).withColumn("weight", weight)
+    out = rake(cells, {m: scratch.table(g) for m, g in goals.items()}, total, rate, scratch, few).withColumn("weight", weight)
     found = scratch.table(out.withColumn("prob", F.least(F.lit(1.0), F.col("weight") * F.lit(float(rate)))))
     scratch.release(found, *needed)
     return found

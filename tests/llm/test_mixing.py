@@ -124,3 +124,25 @@ def test_topics(spark):
     texts = {"In 1998 it was 20,417 of 33,900": "figures", "word " * 19 + "12345": "figures", "word " * 19 + "1234x": "prose", "12 | 13": "table", "5% of 7%": "symbols", "99 bottles!!": "shouted", "\u0665" * 20: "prose", "": "empty"}
     docs = spark.createDataFrame([(i, "a", "en", t) for i, t in enumerate(texts)], "doc_id long, source string, lang string, text string")
     assert [r.topic for r in mixing.weigh(docs).orderBy("doc_id").collect()] == list(texts.values())
+
+
+def test_few_cells_are_raked_without_exchanges(spark, monkeypatch):
+    """The sweeps are a handful of stages, not some for each margin of each sweep; dealt out, they give the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sc = spark.sparkContext
+
+    def run(group):
+        sc.setJobGroup(group, group)
+        try:
+            got = {r.doc_id: (r.weight, r.prob, r.kept) for r in mixing.weigh(docs).collect()}
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        found = sc.statusTracker()
+        return got, sum(len(found.getJobInfo(job).stageIds) for job in found.getJobIdsForGroup(group))
+
+    got, stages = run("few cells")
+    assert 0 < stages < 100
+    monkeypatch.setattr(mixing, "FEW", 0)
+    dealt, stages = run("many cells")
+    assert stages > 100 and dealt.keys() == got.keys()
+    assert all(abs(a - b) < 1e-9 for i in got for a, b in zip(got[i][:2], dealt[i][:2])) and all(got[i][2] == dealt[i][2] for i in got)

@@ -3,7 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from quillmesh.llm import decontamination, mixing, simhash, toxicity
+from quillmesh.llm import common, decontamination, mixing, simhash, toxicity
 from quillmesh.llm.common import fold, table
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,15 @@ def test_sharding_brings_related_documents_together(spark):
     assert [{shard[i] for i in range(g * 5, g * 5 + 5)} for g in range(20)] == [{shard[g * 5]} for g in range(20)]
     assert not any(r.cut for r in got)
     assert not [x for folder in set(os.listdir(top)) - there if folder.startswith("lines-") for x in os.listdir(f"{top}/{folder}")]
+
+
+def test_stages_of_many_jobs_give_freed_memory_back(spark, monkeypatch):
+    """The driver's JVM keeps what a stage has freed outside its heap, unless it is asked; that fails softly."""
+    assert not common.trim(spark, "noSuchCommand")
+    calls, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda spark: calls.append(trim(spark)))
+    docs = table(spark, SF, "documents").limit(40)
+    for name, stage in p.STAGES:
+        before = len(calls)
+        stage(spark, docs, SF)
+        assert len(calls) > before or name == "decontamination", name  # which is one job
